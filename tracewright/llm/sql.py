@@ -32,3 +32,21 @@ P3_FOUND = f"""
 SELECT file_name, token FROM ({P3_SCORES})
 WHERE tf * 10 >= dl AND tf::HUGEINT * total >= cf::HUGEINT * dl * 10 AND df >= 2 AND df * 10 <= n
 """
+
+_FORM = r"regexp_replace(lower({0}), '[-_.\s]+', '-', 'g')"
+P7_FOUND = rf"""
+WITH RECURSIVE hop AS (
+  SELECT {_FORM.format('skill')} AS name, arg_max({_FORM.format('renamed_to')}, added_at) AS next
+  FROM skill_catalog WHERE skill IS NOT NULL AND renamed_to IS NOT NULL GROUP BY 1
+), files AS (
+  SELECT DISTINCT file_name, {_FORM.format(
+    "CASE WHEN regexp_matches(file_name, '(?is)^.*_prompt_[0-9]+_audit-logs[.]log$')"
+    " THEN regexp_extract(file_name, '(?is)^(.*)_prompt_[0-9]+_audit-logs[.]log$', 1)"
+    " ELSE regexp_replace(file_name, '(?i)_audit-logs[.]log$', '') END")} AS name
+  FROM sample_features WHERE file_name IS NOT NULL
+), walk AS (
+  SELECT name AS start, name AS at, 0 AS n FROM (SELECT DISTINCT name FROM files)
+  UNION ALL SELECT start, next, n + 1 FROM walk JOIN hop ON walk.at = hop.name WHERE n < 1000
+)
+SELECT file_name, arg_max(at, n) AS group_key FROM files JOIN walk ON files.name = walk.start GROUP BY file_name
+"""
