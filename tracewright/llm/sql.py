@@ -45,8 +45,8 @@ WITH RECURSIVE hop AS (
     " ELSE regexp_replace(file_name, '(?i)_audit-logs[.]log$', '') END")} AS name
   FROM sample_features WHERE file_name IS NOT NULL
 ), walk AS (
-  SELECT name AS start, name AS at, 0 AS n FROM (SELECT DISTINCT name FROM files)
-  UNION ALL SELECT start, next, n + 1 FROM walk JOIN hop ON walk.at = hop.name WHERE n < 1000
+  SELECT name AS origin, name AS place, 0 AS n FROM (SELECT DISTINCT name FROM files)
+  UNION ALL SELECT origin, next, n + 1 FROM walk JOIN hop ON walk.place = hop.name WHERE n < 1000
 )
-SELECT file_name, arg_max(at, n) AS group_key FROM files JOIN walk ON files.name = walk.start GROUP BY file_name
+SELECT file_name, arg_max(place, n) AS group_key FROM files JOIN walk ON files.name = walk.origin GROUP BY file_name
 """
