@@ -24,3 +24,12 @@ WHERE k.name IS NULL OR NOT live OR first_came > ref_at
 P1_REPORT = f"""
 SELECT ref_name, period, status, count(*) AS n FROM ({P1_FOUND}) GROUP BY ref_name, period, status
 """
+
+P6_ITEMS = """
+WITH e AS (SELECT DISTINCT entry_id, session_id, line_no, message.content AS content FROM session_log WHERE entry_id IS NOT NULL AND message.content IS NOT NULL),
+i AS (SELECT entry_id, session_id, line_no, content, unnest(range(len(content))) AS item_no FROM e)
+SELECT entry_id, session_id, line_no, item_no, content[item_no + 1].type AS item_type, content[item_no + 1].id AS call_id,
+  content[item_no + 1].name AS item_name, content[item_no + 1].text AS text, content[item_no + 1].arguments AS arguments
+FROM i
+"""
+P6_CALLS = f"SELECT entry_id, session_id, line_no, item_no, call_id, item_name, arguments FROM ({P6_ITEMS}) WHERE item_type = 'toolCall'"
