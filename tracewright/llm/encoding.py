@@ -220,7 +220,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     folded = folded_words(coded, ranks)
     placed = parts.join(folded, "word", "left").groupBy(key).agg(
         F.max_by("known", F.size("known")).alias("known"),
-        F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "pieces"))).alias("found"),
+        F.array_distinct(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "pieces")))).alias("found"),
     )
     whole = F.filter(F.transform("known", lambda v, i: F.struct(i.alias("at"), F.array(v).alias("pieces"))), lambda x: F.get(x["pieces"], F.lit(0)).isNotNull())
     ids = F.flatten(F.transform(F.array_sort(F.concat(whole, F.col("found"))), lambda x: x["pieces"]))
@@ -235,7 +235,10 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     known = F.size(F.filter("ids", lambda i: i.isNotNull()))
     parts = coded.select(key, F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("word"), known.alias("known"))), lost)).alias("part")).select(key, "part.*")
     sizes = folded_words(coded, ranks).select("word", F.size("pieces").alias("pieces"))
-    return parts.join(sizes, "word", "left").groupBy(key).agg((F.sum("known") + F.sum(F.coalesce("pieces", F.lit(0)))).alias("tokens"))
+    return parts.join(sizes, "word", "left").groupBy(key).agg(
+        # One part of each copy of a document has no word, so repeated rows count once.
+        ((F.sum("known") + F.sum(F.coalesce("pieces", F.lit(0)))) / F.count_if(F.col("word").isNull())).cast("bigint").alias("tokens")
+    )
 
 
 def decode(encoded: DataFrame, ids: str = "ids", into: str = "text", tokenizer: str | None = None) -> DataFrame:

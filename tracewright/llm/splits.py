@@ -213,5 +213,5 @@ def grouped_split(records: DataFrame, splits=SPLITS, bins: int = BINS, shard: in
     given = bins_to_splits(totals, splits)
     spark = records.sparkSession
     table = spark.createDataFrame(list(given.items()), "bin string, split string")  # at most ``bins`` rows
-    by_key = placed.join(F.broadcast(table), "bin").select("key", "split")
-    return records.withColumn("key", key).join(by_key, "key", "left").drop("key")
+    by_key = placed.join(F.broadcast(table), "bin").select(F.col("key").alias("__key"), "split")
+    return records.drop("split").withColumn("__key", key).join(by_key, "__key", "left").drop("__key")
