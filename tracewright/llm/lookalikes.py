@@ -53,7 +53,7 @@ def tables() -> dict[str, np.ndarray]:
     """The lookup tables, built once per worker from the Unicode database and the values above.
 
     ``start`` and ``size`` by code point into ``pool``; ``ccc`` combining classes; sorted ``pairs`` (base
-    * 2**21 + mark) with ``composed``.
+    * 2**21 + second) with ``composed``; ``second``: seconds of a pair that are no marks.
     """
     one = {p[0]: p[-1] for p in LOOKALIKES.split()} | {h: "-" for h in HYPHENS}
     n = sys.maxunicode + 1
@@ -61,7 +61,7 @@ def tables() -> dict[str, np.ndarray]:
     start = np.arange(n, dtype=np.int32)
     pool = list(range(n))
     ccc = np.zeros(n, np.uint8)
-    base, composed = [], []
+    base = []
     for o in range(n):
         if 0xAC00 <= o < 0xD7A4 or 0x3400 <= o < 0xA000 or 0x20000 <= o < 0x2F800 or 0x30000 <= o < 0xE0000 or o >= 0xE0200 or 0xD800 <= o < 0xF900:
             continue
@@ -80,18 +80,19 @@ def tables() -> dict[str, np.ndarray]:
             full = unicodedata.normalize("NFKD", ch)
             to = "".join(" " if unicodedata.category(x) == "Zs" else one.get(x, x) for x in full if not _unseen(x))
             if not d.startswith("<") and len(parts := d.split()) == 2 and unicodedata.normalize("NFC", ch) == ch:
-                base.append((one.get(chr(int(parts[0], 16)), chr(int(parts[0], 16))), chr(int(parts[1], 16)), ch))
+                base.append((chr(int(parts[0], 16)), chr(int(parts[1], 16)), ch))
         else:
             continue
         start[o], size[o] = len(pool), len(to)
         pool += map(ord, to)
-    # A pair of look-alike bases and the same mark has one composition, the one of the Latin letter if there is one.
-    best: dict[int, int] = {}
-    for b, m, c in base:
-        key = ord(b) << 21 | ord(m)
-        best[key] = min(best.get(key, ord(c)), ord(c))
+    # A base that becomes its Latin look-alike has the compositions of that letter.
+    best = {ord(b) << 21 | ord(m): ord(c) for b, m, c in base if b not in one}
     pairs = np.array(sorted(best), np.int64)
-    return {"size": size, "start": start, "pool": np.array(pool, np.int32), "ccc": ccc, "pairs": pairs, "composed": np.array([best[int(k)] for k in pairs], np.int32)}
+    composed = np.array([best[int(k)] for k in pairs], np.int32)
+    second = np.zeros(n, bool)
+    second[pairs & (2**21 - 1)] = True
+    second &= ccc == 0
+    return {"size": size, "start": start, "pool": np.array(pool, np.int32), "ccc": ccc, "pairs": pairs, "composed": composed, "second": second}
 
 
 def _ordered(points: np.ndarray, rows: np.ndarray, ccc: np.ndarray) -> np.ndarray:
@@ -112,23 +113,69 @@ def unify_points(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     rows = np.repeat(rows, size)
     points = t["pool"][where]
     points = _ordered(points, rows, t["ccc"])
-    while len(points):  # each round composes the first mark behind every base
-        mark = t["ccc"][points]
-        after = np.zeros(len(points), bool)
-        after[1:] = (mark[1:] > 0) & (mark[:-1] == 0) & (rows[1:] == rows[:-1])
-        at = np.flatnonzero(after)
-        if not len(at):
+    points, rows = _composed(points, rows, t)
+    return _joined(points, rows, t)
+
+
+def _find(t: dict[str, np.ndarray], base: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The composition of each pair, -1 where there is none."""
+    key = base.astype(np.int64) << 21 | second
+    at = np.minimum(np.searchsorted(t["pairs"], key), len(t["pairs"]) - 1)
+    return np.where(t["pairs"][at] == key, t["composed"][at], -1)
+
+
+def _composed(points: np.ndarray, rows: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered code points with every mark joined to its base where the two have a composition.
+
+    A round tries the first untried mark of every base. One that has no composition stays and blocks those
+    of its class behind it, so there are about as many rounds as classes, not as marks.
+    """
+    classes = t["ccc"][points]
+    marks = np.flatnonzero(classes)
+    if not len(marks):
+        return points, rows
+    points = points.copy()
+    place = np.arange(len(points))
+    base = np.maximum.accumulate(np.where(classes == 0, place, -1))[marks]
+    marks, base = marks[base >= 0], base[base >= 0]
+    same = rows[marks] == rows[base]
+    marks, base = marks[same], base[same]
+    keep = np.ones(len(points), bool)
+    while len(marks):
+        _, first = np.unique(base, return_index=True)
+        made = _find(t, points[base[first]], points[marks[first]])
+        hit = made >= 0
+        points[base[first[hit]]] = made[hit]
+        keep[marks[first[hit]]] = False
+        rest = np.ones(len(marks), bool)
+        rest[first] = False
+        missed = base[first[~hit]].astype(np.int64) << 8 | classes[marks[first[~hit]]]
+        rest &= ~np.isin(base.astype(np.int64) << 8 | classes[marks], missed)
+        marks, base = marks[rest], base[rest]
+    return points[keep], rows[keep]
+
+
+def _joined(points: np.ndarray, rows: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points with neighbours joined that compose without being marks: Hangul letters and some vowel signs."""
+    for _ in range(3):
+        if len(points) < 2:
             break
-        key = points[at - 1].astype(np.int64) << 21 | points[at]
-        found = np.minimum(np.searchsorted(t["pairs"], key), len(t["pairs"]) - 1)
-        hit = t["pairs"][found] == key
+        a, b = points[:-1], points[1:]
+        near = rows[:-1] == rows[1:]
+        lead = (a >= 0x1100) & (a < 0x1113) & (b >= 0x1161) & (b < 0x1176)
+        tail = (a >= 0xAC00) & (a < 0xD7A4) & ((a - 0xAC00) % 28 == 0) & (b > 0x11A7) & (b < 0x11C3)
+        made = np.where(lead, 0xAC00 + ((a - 0x1100) * 21 + (b - 0x1161)) * 28, np.where(tail, a + b - 0x11A7, -1))
+        other = near & t["second"][b] & (made < 0)
+        made[other] = _find(t, a[other], b[other])
+        hit = near & (made >= 0)
+        hit[1:] &= ~hit[:-1]
         if not hit.any():
             break
-        at, found = at[hit], found[hit]
+        at = np.flatnonzero(hit)
         points = points.copy()
-        points[at - 1] = t["composed"][found]
+        points[at] = made[at]
         keep = np.ones(len(points), bool)
-        keep[at] = False
+        keep[at + 1] = False
         points, rows = points[keep], rows[keep]
     return points, rows
 
