@@ -12,16 +12,21 @@ FLOW_BYTES = 65_536
 WEB_PORTS = (80, 8080, 8000)
 
 
+def _gap(seconds: Column) -> Column:
+    """Not below 0; null where there is no packet before, which no mean or deviation counts."""
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
+
+
 def arrival_gaps(packets: DataFrame, file: str, order: str, seconds: Column) -> DataFrame:
     """(file, order, gap): seconds since the packet before in file order, not below 0; null for the first."""
     w = Window.partitionBy(file).orderBy(order)
-    return packets.withColumn("__s", seconds).select(file, order, F.greatest(F.col("__s") - F.lag("__s").over(w), F.lit(0.0)).alias("gap"))
+    return packets.withColumn("__s", seconds).select(file, order, _gap(F.col("__s") - F.lag("__s").over(w)).alias("gap"))
 
 
 def flow_stats(packets: DataFrame, file: str, order: str, seconds: Column, length: Column, up: Column) -> DataFrame:
     """Per file: packets, bytes by direction, frame lengths and arrival gaps; population deviations, 0 over nothing."""
     w = Window.partitionBy(file).orderBy(order)
-    rows = packets.select(file, order, seconds.alias("__s"), length.alias("__n"), up.alias("__up")).withColumn("__gap", F.greatest(F.col("__s") - F.lag("__s").over(w), F.lit(0.0)))
+    rows = packets.select(file, order, seconds.alias("__s"), length.alias("__n"), up.alias("__up")).withColumn("__gap", _gap(F.col("__s") - F.lag("__s").over(w)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     r = lambda c, n: F.round(zero(c), 4).alias(n)
     total, sent = F.sum("__n"), F.sum(F.when(F.col("__up"), F.col("__n")).otherwise(0.0))

@@ -23,7 +23,7 @@ _FOLDS = f"""SELECT fold, n - total AS train_size, total AS test_size, zero - te
   test_innocent, test_malicious, {_QUALITY.format(4)}, tn, fp, fn, tp
   FROM (SELECT fold, count(*) AS total, count(*) FILTER (label = 0) AS test_innocent, count(*) FILTER (label = 1) AS test_malicious, {_CELLS} FROM ({_SCORED}) GROUP BY fold),
   (SELECT count(*) AS n, count(*) FILTER (label = 0) AS zero, count(*) FILTER (label = 1) AS one FROM ({_SCORED}))"""
-_GAPS = "SELECT user_id, event_id, value, event_type, greatest(s - lag(s) OVER (PARTITION BY user_id ORDER BY event_id), 0.0::DOUBLE) AS gap FROM (SELECT *, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS s FROM events)"
+_GAPS = "SELECT user_id, event_id, value, event_type, CASE WHEN d IS NOT NULL THEN greatest(d, 0.0::DOUBLE) END AS gap FROM (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM (SELECT *, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS s FROM events))"
 _NET = """SELECT file_name, split_part(t, ':', 1) AS kind, regexp_replace(t, '^[^:]*:', '') AS value
   FROM (SELECT file_name, unnest(regexp_split_to_array(net_text, ' +')) AS t FROM sample_features WHERE net_text IS NOT NULL) WHERE contains(t, ':')"""
 _WORDS = r"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL"
