@@ -65,6 +65,8 @@ def test_sound_and_unsound(spark, tmp_path):
     rows += [(902, "null", 1, None, "message", None), (903, None, 1, None, "message", None), (904, "null", None, None, "message", None)]
     rows.reverse()
     assert [r[:3] for r in run(spark, tmp_path, rows)] == sorted(want)
+    again = cv.replay(spark, str(tmp_path / "log.parquet"), files_per_batch=1)
+    assert sorted(tuple(r)[:3] for r in again.collect()) == sorted(want)
 
 
 def test_empty_and_long(spark, tmp_path):

@@ -190,16 +190,19 @@ def conversation_stream(lines: DataFrame, closing: tuple[str, ...] = (), delay:
     )
 
 
-def replay(spark: SparkSession, path: str, closing: tuple[str, ...] = ()) -> DataFrame:
+def replay(spark: SparkSession, path: str, closing: tuple[str, ...] = (), files_per_batch: int | None = None) -> DataFrame:
     """All sound conversations of the session log at ``path``: ``session_id, turn_no, entry_id, speaker``.
 
-    The table is streamed with its own checkpoint in the shared folder, so a lost driver can go on; then
-    the end-of-input row is added and the same query runs again, which times out what is still open.
+    The table is streamed with its own checkpoint in the shared folder, so a lost driver can go on. An
+    end-of-input row moves the watermark beyond every timeout once all rows are read. In one batch,
+    the default, it is read with them, as the watermark moves only after a batch; with
+    ``files_per_batch`` the files are read in parts and the row follows in a second run of the same query.
     """
     schema = spark.read.parquet(path).schema
     home = scratch(spark, "conversations")
     # A file source takes a table of a single file only by a pattern; this one matches just the path.
-    log = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    source = spark.readStream.schema(schema)
+    log = (source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source).parquet(f"{path[:-1]}[{path[-1]}]")
     lines = lines_for_state(log, F.col("_metadata.file_modification_time"))
     end = spark.createDataFrame([("", 0)], "session_id string, line_no bigint")
     for field in lines.schema.fields[2:]:
@@ -208,7 +211,7 @@ def replay(spark: SparkSession, path: str, closing: tuple[str, ...] = ()) -> Dat
     end.limit(0).write.parquet(f"{home}/end")
     both = lines.unionByName(spark.readStream.schema(lines.schema).parquet(f"{home}/end"))
     turns = conversation_stream(both, closing)
-    for last in (False, True):
+    for last in (False, True) if files_per_batch else (True,):
         if last:
             end.coalesce(1).write.mode("append").parquet(f"{home}/end")
         turns.writeStream.format("parquet").option("path", f"{home}/turns").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
