@@ -56,7 +56,7 @@ def stacked(mode: str, host: Column, net: Column) -> Column:
 
 def pooled(rows: DataFrame, key: str, vector: str, how: str = "mean") -> DataFrame:
     """(key, pos, value): element-wise mean or maximum of the vectors of each key, combined partially."""
-    one = rows.select(key, F.posexplode(vector).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    one = rows.select(key, F.posexplode(vector).alias("pos", "x")).withColumns({"x": F.col("x").cast("double"), "pos": F.col("pos").cast("bigint")})
     return one.groupBy(key, "pos").agg((F.avg("x") if how == "mean" else F.max("x")).alias("value"))
 
 

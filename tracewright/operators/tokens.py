@@ -10,7 +10,7 @@ from tracewright.functions import text as tx
 
 def line_tokens(lines: DataFrame) -> DataFrame:
     """(file_name, line_no, pos, token) of every audit line."""
-    return lines.select("file_name", "line_no", F.posexplode(tx.kv_tokens(F.col("msg"))).alias("pos", "token"))
+    return lines.select("file_name", "line_no", F.posexplode(tx.kv_tokens(F.col("msg"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def counts_per_file(lines: DataFrame) -> DataFrame:

@@ -243,7 +243,7 @@ def pool_max(spark, d):
 
 def l2_normalized(spark, d):
     rows = _t(spark, d, "embeddings").select("vec_id", F.posexplode(nu.l2_normalized(F.col("embedding"))).alias("pos", "x"))
-    return rows.select("vec_id", "pos", F.round("x", 6).alias("x"))
+    return rows.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
 def _words(spark, d):
