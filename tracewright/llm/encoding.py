@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.runtime import written
+
 #: Where the vocabulary files of public tokenizers lie; a parameter of everything below.
 TOKENIZERS = os.environ.get("TRACEWRIGHT_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
@@ -39,7 +41,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> tuple[list[bytes], dict[tuple[int, int], int]]:
     """(bytes of each id, {(left id, right id): merged id}) of a byte-level BPE file."""
     with open(path, encoding="utf-8") as f:
@@ -87,6 +89,11 @@ def _numbers(values: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
 
 
+def _letters(word: Column) -> Column:
+    """The bytes of a word as letters, one each; such texts stay small in plans."""
+    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+
+
 _A, _B, _P = 1_000_003, 754_974_721, 2_147_483_647
 _BUCKETS, _SLOTS = 16_384, 131_101
 
@@ -95,19 +102,19 @@ class RankMap:
     """The literal maps of one vocabulary file."""
 
     def __init__(self, path: str):
-        self.tokens, self.merges = vocabulary(path)
-        keys = np.array([a << 16 | b for a, b in self.merges], np.int64)
+        tokens, merges = vocabulary(path)
+        keys = np.array([a << 16 | b for a, b in merges], np.int64)
         first, second = (keys * _A) % _P % _BUCKETS, (keys * _B) % _P
         self.pair_shift = _displacements(first, second, _BUCKETS, _SLOTS)
         self.pair_entry = np.full(_SLOTS, -1, np.int64)
-        self.pair_entry[(second + self.pair_shift[first]) % _SLOTS] = keys << 17 | np.array(list(self.merges.values()), np.int64)
+        self.pair_entry[(second + self.pair_shift[first]) % _SLOTS] = keys << 17 | np.array(list(merges.values()), np.int64)
         words = []
-        for i, t in enumerate(self.tokens):
+        for i, t in enumerate(tokens):
             try:
                 words.append((t.decode("utf-8"), i))
             except UnicodeDecodeError:
                 continue
-        words = [(w, i) for w, i in words if w and "\0" not in w and "\x01" not in w]
+        words = [(w, i) for w, i in words if w and "\x01" not in w]
         hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w, _ in words], np.uint64)
         first, second = (hashes.astype(np.int64) % _BUCKETS), (hashes >> np.uint64(24)).astype(np.int64)
         self.word_shift = _displacements(first, second, _BUCKETS, _SLOTS)
@@ -116,9 +123,9 @@ class RankMap:
         self.word_id[at] = [i for _, i in words]
         texts = [""] * _SLOTS
         for slot, (w, _) in zip(at.tolist(), words):
-            texts[slot] = w
-        self.word_text = texts
-        by_byte = {t[0]: i for i, t in enumerate(self.tokens) if len(t) == 1}
+            texts[slot] = w.encode("utf-8").decode("latin-1")
+        self.word_text = "\x01".join(texts)
+        by_byte = {t[0]: i for i, t in enumerate(tokens) if len(t) == 1}
         self.byte_id = np.array([by_byte[b] for b in range(256)], np.int64)
 
     def word_token(self, word: Column) -> Column:
@@ -126,8 +133,8 @@ class RankMap:
         h = F.xxhash64(word)
         shift = F.get(_numbers(self.word_shift, "int"), F.pmod(h, F.lit(_BUCKETS)).cast("int"))
         slot = F.pmod(F.shiftrightunsigned(h, 24) + shift, F.lit(_SLOTS)).cast("int")
-        text = F.get(F.split(F.lit("\x01".join(self.word_text)), "\x01"), slot)
-        return F.when(text == word, F.get(_numbers(self.word_id, "int"), slot))
+        text = F.get(F.split(F.lit(self.word_text), "\x01"), slot)
+        return F.when(text == _letters(word), F.get(_numbers(self.word_id, "int"), slot))
 
     def merged(self, left: Column, right: Column) -> Column:
         """The id that a pair of ids merges to, which is also its rank; ``NO_RANK`` if it doesn't merge."""
@@ -138,7 +145,7 @@ class RankMap:
 
     def byte_ids(self, word: Column) -> Column:
         """The ids of the bytes of a word."""
-        letters = F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0))
+        letters = F.regexp_extract_all(_letters(word), F.lit("(?s)."), F.lit(0))
         table = _numbers(self.byte_id, "int")
         return F.transform(letters, lambda c: F.get(table, F.ascii(c)))
 
@@ -192,23 +199,27 @@ def words_of(text: Column) -> Column:
 
 
 def coded_words(documents: DataFrame, ranks: RankMap, key: str, text: str) -> DataFrame:
-    """(key, words, ids): words in order, with their id where they are a token as a whole, else null."""
-    return documents.select(key, words_of(F.col(text)).alias("words")).select(key, "words", F.transform("words", ranks.word_token).alias("ids"))
+    """(key, ids, lost): the id of each word that is a token as a whole, else null; lost: (at, word) of the others."""
+    words = documents.filter(F.col(key).isNotNull()).select(key, words_of(F.col(text)).alias("words")).select(key, "words", F.transform("words", ranks.word_token).alias("ids"))
+    placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    return words.select(key, "ids", F.filter(placed, lambda x: F.get("ids", x["at"]).isNull()).alias("lost"))
 
 
 def folded_words(coded: DataFrame, ranks: RankMap) -> DataFrame:
     """(word, pieces) of the distinct words that are no token as a whole."""
-    lost = F.filter(F.arrays_zip("words", "ids"), lambda x: x["ids"].isNull())
-    words = coded.select(F.explode(F.array_distinct(F.transform(lost, lambda x: x["words"]))).alias("word")).distinct()
+    words = coded.select(F.explode(F.array_distinct(F.transform("lost", lambda x: x["word"]))).alias("word")).distinct()
     return words.select("word", ranks.fold(F.col("word")).alias("pieces"))
 
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(key, ids array<int>) of every document, without special tokens. Keys are unique; null keys are left out."""
+    """(key, ids array<int>) of every document, without special tokens. Keys are unique; null keys are left out.
+
+    The words of the texts are coded once, as a table in the shared folder; it holds numbers and the
+    words that are no token, and is read for the distinct words and again for the documents.
+    """
     ranks = rank_map(_path(tokenizer))
-    coded = coded_words(documents.filter(F.col(key).isNotNull()), ranks, key, text)
-    lost = F.filter(F.transform(F.arrays_zip("words", "ids"), lambda x, i: F.struct(i.alias("at"), x["words"].alias("word"), x["ids"].alias("id"))), lambda x: x["id"].isNull())
-    parts = coded.select(key, "ids", lost.alias("lost")).select(
+    coded = written(coded_words(documents, ranks, key, text), "coded")
+    parts = coded.select(
         key,
         F.explode(
             F.concat(
@@ -217,8 +228,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", tokeni
             )
         ).alias("part"),
     ).select(key, "part.*")
-    folded = folded_words(coded, ranks)
-    placed = parts.join(folded, "word", "left").groupBy(key).agg(
+    placed = parts.join(folded_words(coded, ranks), "word", "left").groupBy(key).agg(
         F.max_by("known", F.size("known")).alias("known"),
         F.array_distinct(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "pieces")))).alias("found"),
     )
@@ -230,9 +240,9 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", tokeni
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(key, tokens): the number of tokens of every document, without putting ids in order."""
     ranks = rank_map(_path(tokenizer))
-    coded = coded_words(documents.filter(F.col(key).isNotNull()), ranks, key, text)
-    lost = F.transform(F.filter(F.arrays_zip("words", "ids"), lambda x: x["ids"].isNull()), lambda x: F.struct(x["words"].alias("word"), F.lit(0).alias("known")))
-    known = F.size(F.filter("ids", lambda i: i.isNotNull()))
+    coded = written(coded_words(documents, ranks, key, text), "coded")
+    lost = F.transform("lost", lambda x: F.struct(x["word"].alias("word"), F.lit(0).alias("known")))
+    known = F.size("ids") - F.size("lost")
     parts = coded.select(key, F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("word"), known.alias("known"))), lost)).alias("part")).select(key, "part.*")
     sizes = folded_words(coded, ranks).select("word", F.size("pieces").alias("pieces"))
     return parts.join(sizes, "word", "left").groupBy(key).agg(
