@@ -81,6 +81,7 @@ ORACLE = {
     "p2_frequency": sql.P2_FREQUENCY,
     "p3_found": sql.P3_FOUND,
     "p3_relevance": sql.P3_RELEVANCE,
+    "p4_found": sql.P4_FOUND,
     "p7_found": sql.P7_FOUND,
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -50,3 +50,35 @@ WITH RECURSIVE hop AS (
 )
 SELECT file_name, arg_max(place, n) AS group_key FROM files JOIN walk ON files.name = walk.origin GROUP BY file_name
 """
+
+P4_FOUND = r"""
+WITH r AS (
+  SELECT DISTINCT session_id, line_no, entry_id, type, message FROM session_log WHERE session_id IS NOT NULL AND line_no IS NOT NULL
+), m AS (
+  SELECT session_id, line_no, entry_id, message.role AS role,
+    CASE regexp_replace(lower(message.role), '[\s_\-]+', '', 'g') WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'ai' THEN 'assistant'
+      WHEN 'agent' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'tool' THEN 'tool' WHEN 'toolresult' THEN 'tool' WHEN 'environment' THEN 'tool' WHEN 'system' THEN 'system' END AS sp,
+    coalesce(list_transform(list_filter(message.content, lambda i: i.type = 'text' AND regexp_matches(i.text, '\S')), lambda i: i.text), []) AS texts,
+    coalesce(list_transform(list_filter(message.content, lambda i: i.type = 'toolCall'), lambda i: i.id), []) AS calls,
+    coalesce(list_distinct(list_filter(list_transform(message.content, lambda i: i.id), lambda x: x IS NOT NULL)), []) AS ids
+  FROM r WHERE type = 'message'
+), c AS (
+  SELECT *, lag(sp) OVER w AS sp_before, lag(texts) OVER w AS texts_before FROM m
+  WHERE sp = 'tool' OR sp IS NOT NULL AND (len(texts) > 0 OR len(calls) > 0) WINDOW w AS (PARTITION BY session_id ORDER BY line_no)
+), k AS (
+  SELECT session_id, line_no, entry_id, sp, calls, ids, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS turn_no,
+    count(*) FILTER (sp = 'user') OVER (PARTITION BY session_id ORDER BY line_no) AS asked
+  FROM c WHERE NOT (sp = 'assistant' AND len(calls) = 0 AND coalesce(sp_before = 'assistant' AND texts_before = texts, false))
+), call AS (SELECT session_id, line_no, unnest(calls) AS id FROM k WHERE len(calls) > 0),
+reply AS (SELECT session_id, line_no, unnest(ids) AS id FROM k WHERE sp = 'tool' AND len(ids) > 0),
+bad AS (
+  SELECT session_id FROM r GROUP BY session_id HAVING min(line_no) < 1 OR count(DISTINCT line_no) <> max(line_no)
+  UNION ALL SELECT session_id FROM m WHERE role IS NULL
+  UNION ALL SELECT session_id FROM k WHERE sp = 'tool' AND len(ids) = 0
+  UNION ALL SELECT a.session_id FROM reply a WHERE NOT EXISTS (SELECT 1 FROM call b WHERE b.session_id = a.session_id AND b.id = a.id AND b.line_no < a.line_no)
+  UNION ALL SELECT a.session_id FROM call a WHERE NOT EXISTS (SELECT 1 FROM reply b WHERE b.session_id = a.session_id AND b.id = a.id AND b.line_no > a.line_no)
+  UNION ALL SELECT session_id FROM k WHERE asked > 0 GROUP BY session_id, asked HAVING count(*) FILTER (sp = 'assistant') = 0
+  UNION ALL SELECT session_id FROM k GROUP BY session_id HAVING count(*) FILTER (sp = 'user') = 0
+)
+SELECT session_id, turn_no, entry_id FROM k WHERE session_id NOT IN (SELECT session_id FROM bad)
+"""
