@@ -55,6 +55,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {
     "p1_found": core_sql.P1_FOUND,
     "p1_report": core_sql.P1_REPORT,
+    "p5_found": core_sql.P5_FOUND,
     "p6_items": core_sql.P6_ITEMS,
     "p6_calls": core_sql.P6_CALLS,
 }
