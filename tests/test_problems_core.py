@@ -81,7 +81,7 @@ def test_runs_are_contiguous_and_bounded(spark):
 @pytest.mark.parametrize("name", sorted(core_queries.ORACLE))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("sample_features", "audit_files", "pcap_files", "results", "session_log"):
+    for t in ("sample_features", "audit_files", "pcap_files", "results", "session_log", "audit_raw"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rel = con.execute(core_queries.ORACLE[name])
     cols = [c[0] for c in rel.description]
