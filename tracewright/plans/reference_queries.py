@@ -10,7 +10,7 @@ from tracewright.functions import text as tx
 from tracewright.operators import features, flow, metrics, sessions, tokens, trajectory
 from tracewright.operators.orphans import canonical_name
 from tracewright.plans import reference_sql
-from tracewright.runtime import read_table
+from tracewright.runtime import read_table, spread
 
 #: Weights of the scoring query over the host counters, and its intercept.
 TOY_WEIGHTS = (0.001, 0.02, -0.01, 1.5, 0.05, -0.3, 0.7, 0.002)
@@ -115,7 +115,7 @@ def sample_cap_per_class(spark, d):
 
 def keyword_hits(spark, d):
     words = [r[0] for r in _t(spark, d, "skill_catalog").select("skill").distinct().collect()]  # 260 rows, fixed
-    return sessions.keyword_hits(_t(spark, d, "documents"), "text", words).select("doc_id")
+    return sessions.keyword_hits(spread(_t(spark, d, "documents").select("doc_id", "text")), "text", words).select("doc_id")
 
 
 def _results(spark, d):

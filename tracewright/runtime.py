@@ -63,3 +63,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, over at least as many partitions as there are cores, for work heavy per row.
+
+    Only an input of fewer splits than cores is shuffled, which is a small one.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
