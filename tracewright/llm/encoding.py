@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.runtime import written
+from tracewright.runtime import spread, written
 
 #: Where the vocabulary files of public tokenizers lie; a parameter of everything below.
 TOKENIZERS = os.environ.get("TRACEWRIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -200,7 +200,8 @@ def words_of(text: Column) -> Column:
 
 def coded_words(documents: DataFrame, ranks: RankMap, key: str, text: str) -> DataFrame:
     """(key, ids, lost): the id of each word that is a token as a whole, else null; lost: (at, word) of the others."""
-    words = documents.filter(F.col(key).isNotNull()).select(key, words_of(F.col(text)).alias("words")).select(key, "words", F.transform("words", ranks.word_token).alias("ids"))
+    rows = spread(documents.filter(F.col(key).isNotNull()).select(key, text))
+    words = rows.select(key, words_of(F.col(text)).alias("words")).select(key, "words", F.transform("words", ranks.word_token).alias("ids"))
     placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
     return words.select(key, "ids", F.filter(placed, lambda x: F.get("ids", x["at"]).isNull()).alias("lost"))
 
