@@ -146,6 +146,15 @@ def test_log_edge_cases(spark):
     assert entries(spark, [("f", 1, line), ("f", 1, line), ("f", 3, "y" * 200_000)], None) == [(1, 3, None, "INFO", "executor.go")]
 
 
+def test_layouts_of_frequent_templates(spark):
+    """A head that the grammar does not know is a layout where its n-grams are frequent, and text where not."""
+    other = ["worker-1|2026-04-20T13:08:01Z|WARN|net.io| took 3", "  more", "worker-2|2026-04-20T13:08:02Z|FATAL|disk.io| lost 4"]
+    want = [(1, 2, "2026-04-20 13:08:01.000", "WARN", "net.io"), (3, 3, "2026-04-20 13:08:02.000", "FATAL", "disk.io")]
+    assert entries(spark, [("f", i, m) for i, m in enumerate(other, 1)]) == want
+    once = ["Jun 11 03:12:20 box-2 kernel: a", other[0]]
+    assert [r[:2] for r in entries(spark, [("f", i, m) for i, m in enumerate(once, 1)])] == [(1, 2)]
+
+
 def test_entries_cross_blocks(spark, monkeypatch):
     monkeypatch.setattr(logparse, "BLOCK", 4)
     lines = ["Jun 11 03:12:20 box-2 kernel: a", *["more"] * 10, "x", "{", '  "ts": 1766079203954,', "}", *["more"] * 5, " "]
