@@ -95,6 +95,20 @@ def test_closure_timeout_and_late_lines(spark, tmp_path):
     assert got == ["closed", "idle"]  # "other" is still waited for
 
 
+def test_batches_of_files_written_days_apart(spark, tmp_path):
+    """A session with rows in files of different days is whole, in any number of batches."""
+    src = tmp_path / "log.parquet"
+    rows = session("split", *SOUND) + session("late", *SOUND, start=50)
+    others = [session(f"other{k}", *SOUND, start=80 + k * 10) for k in range(3)]
+    files = [rows[:2] + rows[7:9], *others, rows[2:7] + rows[9:]]
+    for k, part in enumerate(files):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
+        newest = max(src.glob("*.parquet"), key=lambda p: p.stat().st_ctime_ns)
+        os.utime(newest, (1_700_000_000 + k * 259_200,) * 2)
+    once, parts = (sorted(tuple(r) for r in cv.replay(spark, str(src), files_per_batch=n).collect()) for n in (None, 1))
+    assert parts == once and {r[0] for r in parts} == {"split", "late", "other0", "other1", "other2"} and len(parts) == 20
+
+
 @pytest.mark.parametrize("name,speaker", [("Tool_Result", "tool"), (" USER", "user"), ("telemetry", "other"), (None, None)])
 def test_speakers(spark, name, speaker):
     assert spark.createDataFrame([(name,)], "r string").select(cv.speaker_of(F.col("r"))).first()[0] == speaker

@@ -6,9 +6,10 @@ through the shuffle or into state; a line takes some tens of bytes there. State
 and buffers lines in any order. A session is validated and emitted once: when a closing line is there and
 no line before it is missing, or when the watermark passes its timeout, so late lines are waited for.
 
-The event time of a row is the time its file was delivered, as ``logged_at`` may be null or wrong; the
-watermark thus never overtakes rows that are still to come. ``replay`` runs a table through the stream: it
-reads all files, then adds an end-of-input row that moves the watermark beyond every timeout.
+The event time of a row in a live stream is a time of its delivery, as ``logged_at`` may be null or wrong.
+``replay`` runs a bounded table through the stream: all its rows have one event time, whenever their files
+were written, so no session times out before all files are read; then an end-of-input row moves the
+watermark beyond every timeout.
 
 Defined cases: a line delivered again (same entry) counts once; null or blank texts are no text; rows
 without a session or line number belong to no session; an empty table gives an empty result.
@@ -36,6 +37,7 @@ SPEAKERS = {
 }
 DELAY = "1 hour"
 IDLE_MS = 3_600_000
+READ = "2000-01-01 00:00:00"
 END = "2200-01-01 00:00:00"
 
 TURNS = T.StructType(
@@ -197,13 +199,15 @@ def replay(spark: SparkSession, path: str, closing: tuple[str, ...] = (), files_
     end-of-input row moves the watermark beyond every timeout once all rows are read. In one batch,
     the default, it is read with them, as the watermark moves only after a batch; with
     ``files_per_batch`` the files are read in parts and the row follows in a second run of the same query.
+    The result does not depend on the batches: rows of a table have the event time ``READ``, so that the
+    watermark stays before every timeout until that row.
     """
     schema = spark.read.parquet(path).schema
     home = scratch(spark, "conversations")
     # A file source takes a table of a single file only by a pattern; this one matches just the path.
     source = spark.readStream.schema(schema)
     log = (source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source).parquet(f"{path[:-1]}[{path[-1]}]")
-    lines = lines_for_state(log, F.col("_metadata.file_modification_time"))
+    lines = lines_for_state(log, F.lit(READ))
     end = spark.createDataFrame([("", 0)], "session_id string, line_no bigint")
     for field in lines.schema.fields[2:]:
         value = F.lit(END) if field.name == "seen_at" else F.array() if field.name == "calls" else F.lit(field.name == "has_text") if field.name in ("is_message", "has_text") else F.lit(None)
