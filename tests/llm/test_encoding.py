@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -62,6 +63,34 @@ def test_histogram_packing():
             assert containers <= -(-volume // 3000) * 1.02 + 1
 
 
+@pytest.mark.parametrize("counts", [{2000: 1_000_000, 300: 10}, {k: 1_000_000 for k in range(1590, 1611)}, {2000: 10**6, 500: 10**6, 7: 999}])
+def test_fillings_do_not_grow_with_pieces(counts):
+    """Where no filling is nearly full, equal containers are still one filling."""
+    fillings = packing.pack_histogram(counts, 3000)
+    assert len(fillings) <= 4 * len(counts)
+    assert all(0 < sum(a * b for a, b in f.items()) <= 3000 for f, _ in fillings)
+    assert {x: sum(f.get(x, 0) * n for f, n in fillings) for x in counts} == counts
+    assert sum(n for _, n in fillings) <= sum(n for x, n in counts.items() if x > 1500) + 1
+
+
+def test_best_fit_against_single_pieces():
+    """Groups of equal containers hold what best fit makes piece by piece."""
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        left = np.zeros(101, np.int64)
+        left[rng.integers(1, 101, 12)] = rng.integers(0, 40, 12)
+        rooms = []
+        for length in np.flatnonzero(left)[::-1]:
+            for _ in range(left[length]):
+                fits = [r for r in rooms if r >= length]
+                room = min(fits, default=100)
+                if fits:
+                    rooms.remove(room)
+                rooms.append(room - int(length))
+        got = [(100 - sum(a * b for a, b in f.items()), n) for f, n in packing.best_fit(left, 100)]
+        assert sorted(rooms) == sorted(r for r, n in got for _ in range(n))
+
+
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr(packing, "PART", 50)
     sizes = [(i, (i * 37) % 400) for i in range(400)] + [(1000 + i, 120) for i in range(300)] + [(5000, 7001), (5001, None), (None, 5)]

@@ -4,8 +4,9 @@ Items longer than the capacity are split into full pieces and a rest; no other i
 histogram of piece lengths, which has at most ``capacity`` rows, goes to the driver. There a
 configuration linear program (how often to use each filling of a container) is solved by
 multiplicative weights: the prices of lengths still wanted rise, a knapsack dynamic program over the
-capacity finds the filling of greatest price, and its use rises. The uses are rounded down, and what that
-leaves goes best-fit in decreasing order. Pieces then find their container
+capacity finds the filling of greatest price, and its use rises. Where no filling is nearly full, the best
+there is counts. The uses are rounded down, and what that leaves goes best-fit in decreasing order, equal
+containers at once. Pieces then find their container
 by their rank among those of their length, which is counted in salted parts, so a length that a third of
 all items share is never sorted in one task.
 """
@@ -21,6 +22,10 @@ from tracewright.runtime import written
 #: Rows of a length per salted part, about.
 PART = 50_000
 ROUNDS = 400
+#: Shares of a container that fillings must reach, one after another; any length in numbers reaches the last.
+FULL = (0.999, 0.99, 0.97, 0.9, 0.75, 0.5)
+#: Pieces per length, on average, that are left to best fit once no filling is nearly full.
+REST = 4
 
 
 def best_filling(prices: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -52,40 +57,46 @@ def best_filling(prices: np.ndarray, counts: np.ndarray, capacity: int) -> np.nd
     return out
 
 
-def configuration_program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.1, full: float = 0.999) -> list[tuple[np.ndarray, float]]:
+def configuration_program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.1) -> list[tuple[np.ndarray, float]]:
     """[(filling, use)]: a fractional cover of the pieces by fillings, by multiplicative weights.
 
     counts[l] pieces of length l are wanted; the price of a length starts as its share of the capacity,
     so full containers are worth most. In each round the knapsack program finds the filling of
     greatest price among lengths that allow at least ``least`` uses of it, the filling is used as often as
     its scarcest length allows, and the prices of the lengths fall by the share of them that was
-    covered. Once such fillings leave more than 1 - ``full`` of a container empty, ``least`` is halved. What
-    is still wanted at less than two uses is left to the rounding.
+    covered. Once such fillings leave more than 1 - ``full`` of a container empty, ``least`` is halved, and
+    below two uses the next of ``FULL`` holds, as long as more than ``REST`` pieces a length are wanted. As
+    every round uses up a length, there are no more rounds than lengths; ``rounds`` limits those of the
+    first ``full``. What is still wanted is left to the rounding.
     """
     wanted = counts.astype(float).copy()
     weight = np.ones(capacity + 1)
     lengths = np.arange(capacity + 1)
     out: list[tuple[np.ndarray, float]] = []
-    least = 1 << int(max(wanted.max(), 1)).bit_length()
-    for _ in range(rounds):
-        prices = weight * lengths / capacity
-        filling = None
-        while least >= 2:
-            allowed = np.floor(wanted / least).astype(np.int64)
-            if (allowed * lengths).sum() >= full * capacity:
-                filling = best_filling(prices, allowed, capacity)
-                if (filling * lengths).sum() >= full * capacity:
-                    break
+    many = REST * np.count_nonzero(counts)
+    for full in FULL:
+        least = 1 << int(max(wanted.max(), 1)).bit_length()
+        while len(out) < rounds or full < FULL[0] and wanted.sum() > many:
+            prices = weight * lengths / capacity
             filling = None
-            least //= 2
-        if filling is None:
+            while least >= 2:
+                allowed = np.floor(wanted / least).astype(np.int64)
+                if allowed.any() and (allowed * lengths).sum() >= full * capacity:
+                    filling = best_filling(prices, allowed, capacity)
+                    if (filling * lengths).sum() >= full * capacity:
+                        break
+                filling = None
+                least //= 2
+            if filling is None:
+                break
+            used = np.flatnonzero(filling)
+            use = float((wanted[used] / filling[used]).min())
+            covered = use * filling[used] / wanted[used]
+            weight[used] *= np.exp(-step * covered)
+            wanted[used] = np.maximum(wanted[used] - use * filling[used], 0)
+            out.append((filling, use))
+        if wanted.sum() <= many:
             break
-        used = np.flatnonzero(filling)
-        use = float((wanted[used] / filling[used]).min())
-        covered = use * filling[used] / wanted[used]
-        weight[used] *= np.exp(-step * covered)
-        wanted[used] -= use * filling[used]
-        out.append((filling, use))
     return out
 
 
@@ -101,24 +112,44 @@ def pack_histogram(counts: dict[int, int], capacity: int, rounds: int = ROUNDS)
         if n > 0:
             left[used] -= n * filling[used]
             out.append(({int(x): int(filling[x]) for x in used}, n))
-    # The rest, best fit in decreasing order, over containers kept by their room.
-    open_bins: list[dict[int, int]] = []
-    by_room: dict[int, list[int]] = {}
+    return out + best_fit(left, capacity)
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit in decreasing order over groups of equal containers: [(filling, number of containers)].
+
+    Pieces of one length fill the container they fit best before they go to the next, so they are
+    placed group by group. A length opens or splits at most one group, into three: there are no more than
+    three groups a length, however many pieces.
+    """
+    by_room: dict[int, list[tuple[dict[int, int], int]]] = {}
     rooms = np.zeros(capacity + 1, np.int64)
-    for length in np.flatnonzero(left)[::-1]:
-        for _ in range(int(left[length])):
+
+    def put(room: int, filling: dict[int, int], n: int) -> None:
+        by_room.setdefault(room, []).append((filling, n))
+        rooms[room] += 1
+
+    for length in map(int, np.flatnonzero(left)[::-1]):
+        pieces = int(left[length])
+        while pieces:
             fits = np.flatnonzero(rooms[length:])
             if len(fits):
                 room = int(length + fits[0])
-                b = by_room[room].pop()
+                filling, n = by_room[room].pop()
                 rooms[room] -= 1
             else:
-                room, b = capacity, len(open_bins)
-                open_bins.append({})
-            open_bins[b][int(length)] = open_bins[b].get(int(length), 0) + 1
-            by_room.setdefault(int(room - length), []).append(b)
-            rooms[room - length] += 1
-    return out + [(b, 1) for b in open_bins]
+                room, filling, n = capacity, {}, -(-pieces // (capacity // length))
+            each = room // length
+            whole = min(n, pieces // each)
+            rest = min(pieces - whole * each, each - 1) if whole < n else 0
+            if whole:
+                put(room - each * length, filling | {length: each}, whole)
+            if rest:
+                put(room - rest * length, filling | {length: rest}, 1)
+            if n - whole - (rest > 0) > 0:
+                put(room, filling, n - whole - (rest > 0))
+            pieces -= whole * each + rest
+    return [group for groups in by_room.values() for group in groups]
 
 
 def split_items(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
@@ -134,8 +165,8 @@ def split_items(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFra
 def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int = 3000, rounds: int = ROUNDS) -> DataFrame:
     """(key, part_no, length, container): every piece of every item in a container of ``capacity``.
 
-    Only the histogram (at most ``capacity`` rows) and the number of rows per salted part of a length
-    reach the driver or a broadcast; their bounds do not depend on the number of items. An empty table gives an empty result.
+    Only the histogram (at most ``capacity`` rows), the fillings (at most a few per length) and the number of rows
+    per salted part of a length reach the driver or a broadcast. The bounds of the first two do not depend on the number of items. An empty table gives an empty result.
     """
     spark = sizes.sparkSession
     pieces = split_items(sizes, key, size, capacity)
