@@ -285,6 +285,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.option("header", True).csv(str(tmp_path / "out/distribution")).count() == 3
 
 
+def test_rule_reads_audit_logs(spark, tmp_path):
+    """The rule finds keywords that stand in audit.log only, with or without a session; a session beside it is not searched."""
+    said = json.dumps({"type": "message", "message": {"role": "user", "content": [{"type": "text", "text": "secret-word"}]}})
+    for name, log in {"a": b"x\nexe=secret-\xffword\r\n", "b": b"nothing", "c": b"secret-word"}.items():
+        (tmp_path / "data" / name).mkdir(parents=True)
+        (tmp_path / "data" / name / "audit.log").write_bytes(log)
+    (tmp_path / "data/b/session.jsonl").write_text(said)
+    (tmp_path / "data/c/session.jsonl").write_text(said.replace("secret", "other"))
+    votes, _ = cli.score(spark, str(tmp_path / "data"), 0, ["secret-word"], modules=("rule",))
+    assert {r["sample_id"]: r["rule"] for r in votes.collect()} == {"a": True, "b": False, "c": True}
+
+
 def test_train_and_validate(spark, tmp_path):
     root = tmp_path / "labelled"
     for label, kind in enumerate(("innocent", "malicious")):

@@ -27,7 +27,8 @@ def sample_labels(spark: SparkSession, root: str, samples: DataFrame, mode: int)
 def score(spark: SparkSession, root: str, label_mode: int, keywords: list[str], model: dict | None = None, modules: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(votes, metrics) of the detectors over a dataset directory; without modules all run.
 
-    Detectors are joined by sample; a sample without a detector's evidence counts as 0 there.
+    Detectors are joined by sample; a sample without a detector's evidence counts as 0 there. The rule
+    searches the whole audit.log, and the session only of a sample that has none.
     """
     modules = modules or ("pcap", "session", "rule")
     samples = files.sample_folders(spark, root)
@@ -48,7 +49,9 @@ def score(spark: SparkSession, root: str, label_mode: int, keywords: list[str],
         s = judge.judge_sessions(text, "session_id", "text").select(F.col("session_id").alias("sample_id"), F.col("label").alias("session"))
         votes = votes.join(s, "sample_id", "left")
     if "rule" in modules:
-        r = sessions.keyword_hits(text, "text", keywords).select(F.col("session_id").alias("sample_id"), F.lit(1).alias("rule"))
+        audit = files.audit_texts(spark, root)
+        searched = audit.unionByName(text.select(F.col("session_id").alias("sample_id"), F.col("text").alias("content")).join(audit.select("sample_id"), "sample_id", "left_anti"))
+        r = sessions.keyword_hits(searched, "content", keywords).select("sample_id", F.lit(1).alias("rule")).distinct()
         votes = votes.join(r, "sample_id", "left")
     votes = votes.select("sample_id", "label", *[(F.coalesce(F.col(m), F.lit(0)) == 1).alias(m) for m in modules])
     return votes, metrics.union_metrics(votes, list(modules))

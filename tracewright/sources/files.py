@@ -112,6 +112,15 @@ def sample_folders(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def audit_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(sample_id, content) of the audit.log of each folder right below ``root``, whole; bad bytes are left out."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "audit.log").text(root)
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
+    path = F.col("_metadata.file_path")
+    below = F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+$", 1) == F.lit(root.rstrip("/").rsplit("/", 1)[-1])
+    return raw.filter(below).select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("sample_id"), F.regexp_replace(text, "\r\n?", "\n").alias("content"))
+
+
 def labelled_names(spark: SparkSession, root: str) -> DataFrame:
     """(label, kind, name) of a labelled dataset: the label is the folder, kind is audit or pcap."""
     files = spark.read.format("binaryFile").load(f"{root}/*-by-type/*/*").select("path")
