@@ -297,6 +297,21 @@ def test_rule_reads_audit_logs(spark, tmp_path):
     assert {r["sample_id"]: r["rule"] for r in votes.collect()} == {"a": True, "b": False, "c": True}
 
 
+def test_texts_are_features(spark):
+    """Samples with the same counters are told apart by their texts, decoded arguments among them."""
+    rows = [(f"f{i}", i % 2, f"common w{i % 3} " + ("wicked" if i % 2 else "harmless"), [0.0] * 8, "net same", [0.0] * 15, True, True) for i in range(12)]
+    samples = spark.createDataFrame(rows, "file_name string, label int, audit_text string, host_numeric array<double>, net_text string, net_numeric array<double>, has_audit boolean, has_pcap boolean")
+    model = detect.train(samples, Settings(embedding_dim=16))
+    assert [t for t, _ in model["vocabularies"]["audit_text"]] == ["harmless", "w0", "w1", "w2", "wicked"] and len(model["weights"]) == 5 + 16 + 23 + 2
+    assert all(r["pred"] == r["label"] for r in detect.predict(samples, model).collect())
+    x = np.random.default_rng(0).normal(size=(60, 3))
+    dense = spark.createDataFrame([([0, 1, 2], a.tolist(), int(a[0] > a[1])) for a in x], "i array<int>, x array<double>, label int")
+    (w, b), (v, c) = svm.fit(dense, "x", "label"), svm.fit_sparse(dense, "i", "x", "label", 3)
+    assert np.abs(np.append(w - v, b - c)).max() < 1e-2
+    lines = spark.createDataFrame([("f", "type=EXECVE a0=7365637265742d776f7264 a1=12"), ("f", "type=CWD a0=7365637265742d776f7264")], "file_name string, msg string")
+    assert [tuple(r) for r in tokens.host_payload(lines).collect()] == [("f", "secret-word")]
+
+
 def test_train_and_validate(spark, tmp_path):
     root = tmp_path / "labelled"
     for label, kind in enumerate(("innocent", "malicious")):

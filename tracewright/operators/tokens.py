@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
@@ -104,6 +104,20 @@ def capped_documents(per_file: DataFrame, cap: int = tx.MAX_REPEAT) -> DataFrame
     return per_file.groupBy("file_name").agg(F.collect_list(F.struct(F.col("token"), F.col("count").alias("n"))).alias("t")).select("file_name", tx.capped_document(F.col("t"), cap).alias("text"))
 
 
+def _payloads(line: Column) -> tuple[Column, Column]:
+    """(whether a line holds arguments, its decoded hexadecimal arguments with anything printable)."""
+    arg_line = ~F.contains(line, F.lit("type=SYSCALL")) & line.rlike(r"(?U)type=EXECVE\b")
+    decoded = F.transform(F.regexp_extract_all(line, F.lit(r"(?U)\ba\p{Nd}+=([0-9A-Fa-f]{8,})\b"), F.lit(1)), tx.hex_text)
+    return arg_line, F.filter(decoded, lambda p: p.rlike(r"[^\p{C}\p{Z}]|\x20"))
+
+
+def host_payload(lines: DataFrame) -> DataFrame:
+    """(file_name, payload): the decoded arguments of each file, in order of their text."""
+    one = lines.select("file_name", F.explode(tx.split_lines(F.coalesce(F.col("msg"), F.lit("")))).alias("line"))
+    arg_line, shown = _payloads(F.col("line"))
+    return one.filter(arg_line).select("file_name", F.explode(shown).alias("p")).groupBy("file_name").agg(F.array_join(F.array_sort(F.collect_list("p")), " ").alias("payload"))
+
+
 def host_counters(lines: DataFrame) -> DataFrame:
     """(file_name, 8 counters and ratios) of the audit lines of each file, in one aggregation.
 
@@ -113,9 +127,7 @@ def host_counters(lines: DataFrame) -> DataFrame:
     syscall = F.contains("line", F.lit("type=SYSCALL"))
     failed = syscall & F.contains("line", F.lit("success=no"))
     execve = syscall & (F.contains("line", F.lit("SYSCALL=execve")) | F.contains("line", F.lit("syscall=59")))
-    arg_line = ~syscall & F.col("line").rlike(r"(?U)type=EXECVE\b")
-    decoded = F.transform(F.regexp_extract_all("line", F.lit(r"(?U)\ba\p{Nd}+=([0-9A-Fa-f]{8,})\b"), F.lit(1)), tx.hex_text)
-    shown = F.filter(decoded, lambda p: p.rlike(r"[^\p{C}\p{Z}]|\x20"))
+    arg_line, shown = _payloads(F.col("line"))
     chars = F.aggregate(F.transform(shown, lambda p: F.length(p)), F.lit(0), lambda a, n: a + n)
     from tracewright.functions.numeric import ratio
 

@@ -82,7 +82,8 @@ def labelled_samples(spark: SparkSession, root: str, settings: Settings) -> Data
         keep = tokens.sample_cap(keep, "label", "file_name", settings.max_samples_per_class)
     lines = files.audit_lines(spark, f"{root}/*-by-type/audit-logs")
     network = detect.packet_features(packets.packets(spark, f"{root}/*-by-type/network")).withColumn("file_name", tx.audit_name(files.base_name(F.col("file")))).drop("file")
-    corpus = tokens.capped_documents(tokens.counts_per_file(lines), settings.max_repeat)
+    said = tokens.capped_documents(tokens.counts_per_file(lines), settings.max_repeat)
+    corpus = said.join(tokens.host_payload(lines), "file_name", "full").select("file_name", F.trim(F.concat_ws(" ", "text", "payload")).alias("text"))
     return detect.assemble(keep, corpus, detect.host_features(lines), network).withColumn("group_key", tx.cv_group(F.col("label"), F.col("file_name")))
 
 
