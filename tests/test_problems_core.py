@@ -155,6 +155,12 @@ def test_layouts_of_frequent_templates(spark):
     assert [r[:2] for r in entries(spark, [("f", i, m) for i, m in enumerate(once, 1)])] == [(1, 2)]
 
 
+def test_members_behind_the_head(spark):
+    """An object in one line has its time, level and logger behind many members or a nested object."""
+    many = "{" + "".join(f'"k{i}": {i}, ' for i in range(30)) + '"ctx": {"at": "2020-01-01T00:00:00Z", "who": "x"}, "ts": "2025-12-18T17:33:23.955Z", "lvl": "dbg", "logger": "queue.worker"}'
+    assert entries(spark, [("f", 1, "Jun 11 03:12:20 box-2 kernel: a"), ("f", 2, many)])[1:] == [(2, 2, "2025-12-18 17:33:23.955", "DEBUG", "queue.worker")]
+
+
 def test_entries_cross_blocks(spark, monkeypatch):
     monkeypatch.setattr(logparse, "BLOCK", 4)
     lines = ["Jun 11 03:12:20 box-2 kernel: a", *["more"] * 10, "x", "{", '  "ts": 1766079203954,', "}", *["more"] * 5, " "]
