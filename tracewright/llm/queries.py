@@ -42,7 +42,7 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _grouped(spark, d).select("file_name", "group_key")
+    return p7_splits(spark, d).filter(F.col("split").isNotNull()).select("file_name", "group_key")
 
 
 def p7_splits(spark: SparkSession, d: str) -> DataFrame:

@@ -3,11 +3,13 @@
 Both operators start from per-record term counts. Rows are partitioned once, by (file, term): the rule
 that the row loaded last counts per (file, chunk, token), the sum per (file, term) and every later
 grouping that keeps both keys work inside that partitioning, so the fact table is shuffled once however
-many chunks a file has, and neither a hot file nor a hot term meets in one task. Per term and per file
-sums are combined partially by hash before their shuffle.
+many chunks a file has, and neither a hot file nor a hot term meets in one task. Load time and count of a
+row are one number, so that its maximum is kept in a hash table without a sort. Per term and per file sums
+are combined partially by hash before their shuffle.
 
 Defined cases: a null or blank token, a null file name, or a count that is null or below one holds no
-occurrence; of repeated rows the last loaded counts, on a tie the greatest count. An empty table gives an empty result.
+occurrence; of repeated rows the last loaded counts, on a tie the greatest count, and a row without a load
+time was loaded before all others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.runtime import written
+
 #: Terms that start with one of these are left out of everything.
 SKIPPED = ("a0=", "a1=", "a2=", "a3=", "pid=")
 
@@ -26,24 +30,32 @@ def term_of(token: Column) -> Column:
 
 def term_counts(counts: DataFrame) -> DataFrame:
     """(file_name, term, tf): occurrences of each term in each file, from the chunked counts."""
-    term = F.col("term")
+    term = term_of(F.col("token"))
     skipped = F.lit(False)
     for prefix in SKIPPED:
         skipped = skipped | F.startswith(term, F.lit(prefix))
     return (
-        counts.select("file_name", "chunk_no", "token", "count", "loaded_at")
-        .filter(F.col("file_name").isNotNull() & (F.trim("token") != ""))
-        .withColumn("term", term_of(F.col("token")))
-        .filter(~skipped)
-        .repartition("file_name", "term")
-        .groupBy("file_name", "term", "chunk_no", "token")
-        .agg(F.max(F.struct("loaded_at", "count"))["count"].cast("bigint").alias("count"))
+        counts.filter(F.col("file_name").isNotNull() & (F.trim("token") != "") & ~skipped)
+        .select("file_name", "chunk_no", "token", _loaded(F.col("loaded_at"), F.col("count")).alias("loaded"))
+        .repartition("file_name", term)
+        .groupBy("file_name", term.alias("term"), "chunk_no", "token")
+        .agg(F.max("loaded").alias("loaded"))
+        .withColumn("count", F.pmod("loaded", F.lit(_COUNTS).cast("decimal(38,0)")).cast("bigint") - 2**31)
         .filter(F.col("count") >= 1)
         .groupBy("file_name", "term")
         .agg(F.sum("count").alias("tf"))
     )
 
 
+_COUNTS = 2**33
+
+
+def _loaded(at: Column, count: Column) -> Column:
+    """Load time and count of a row (an int or null) as one number in their order, null first."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
+    return F.coalesce(micros + 1, F.lit(0)).cast("decimal(20,0)") * F.lit(_COUNTS).cast("decimal(10,0)") + F.coalesce(count.cast("bigint") + 2**31, F.lit(0)).cast("decimal(10,0)")
+
+
 def file_total(counts: DataFrame) -> Column:
     """The number of distinct non-null file names of the table, as a scalar subquery."""
     return counts.select("file_name").filter(F.col("file_name").isNotNull()).distinct().agg(F.count(F.lit(1))).scalar()
@@ -65,36 +77,49 @@ def term_frequency(counts: DataFrame, rare_at_most: int = 1, common_above: tuple
 
 
 def term_relevance(counts: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 weight of every (file, term): ``file_name, token, tf, file_length, term_total, files, file_count, total, score``.
+    """BM25 weight of every (file, term): ``file_name, token, tf, file_length, term_total, files, file_count, total, mean_length, score``.
 
     score = ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), where N
     is the number of files of the table and avgdl the mean length of the files that hold a term. The
-    counts and statistics cover all rows.
+    counts and statistics cover all rows. The counts of terms are written once and read for each statistic.
     """
-    tf = term_counts(counts)
+    tf = written(term_counts(counts), "term-counts")
     per_file = tf.groupBy("file_name").agg(F.sum("tf").alias("file_length"))
     per_term = tf.groupBy("term").agg(F.sum("tf").alias("term_total"), F.count(F.lit(1)).alias("files"))
     whole = per_file.agg(F.struct(F.sum("file_length").alias("total"), F.count(F.lit(1)).alias("n"))).scalar()
     idf = F.log1p((F.col("file_count") - F.col("files") + 0.5) / (F.col("files") + 0.5))
-    norm = k1 * (1 - b + b * F.col("file_length") / F.try_divide(F.col("total"), F.col("with_terms")))
+    norm = k1 * (1 - b + b * F.col("file_length") / F.col("mean_length"))
     return (
         tf.join(per_file, "file_name")
         .join(per_term, "term")
         .withColumns({"file_count": file_total(counts), "whole": whole})
-        .withColumns({"total": F.col("whole.total"), "with_terms": F.col("whole.n")})
+        .withColumns({"total": F.col("whole.total"), "mean_length": F.try_divide(F.col("whole.total"), F.col("whole.n"))})
         .withColumn("score", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm))
-        .select("file_name", F.col("term").alias("token"), "tf", "file_length", "term_total", "files", "file_count", "total", "score")
+        .select("file_name", F.col("term").alias("token"), "tf", "file_length", "term_total", "files", "file_count", "total", "mean_length", "score")
     )
 
 
+def least_score(share: int, spread: int, k1: float = 1.2, b: float = 0.75) -> Column:
+    """A BM25 weight that no term is below which makes up 1/``share`` of its file and is in at most 1/``spread`` of the files.
+
+    Its idf is least where it is in as many files as allowed. As its file's length is at most ``share`` times tf,
+    and tf at least 1, its saturated frequency is at least (k1 + 1) / (1 + k1 (1 - b) + k1 b share / avgdl).
+    """
+    most = F.floor(F.col("file_count") / F.lit(spread))
+    idf = F.log1p((F.col("file_count") - most + 0.5) / (most + 0.5))
+    return idf * (k1 + 1) / (1 + k1 * (1 - b) + k1 * b * share / F.col("mean_length"))
+
+
 def distinctive_terms(counts: DataFrame, share: int = 10, lift: int = 10, fewest: int = 2, spread: int = 10) -> DataFrame:
-    """The rows of ``term_relevance`` whose term marks its file.
+    """The rows of ``term_relevance`` whose term marks its file: those scored high enough, then checked.
 
     The term makes up at least 1/``share`` of its file, at least ``lift`` times its share of the whole
-    collection, and is in at least ``fewest`` and at most 1/``spread`` of the files. Compared in integers.
+    collection, and is in at least ``fewest`` and at most 1/``spread`` of the files. Candidates are the rows with
+    at least the score such a term has (``least_score``, less rounding); the conditions are compared in integers.
     """
     big = lambda c: F.col(c).cast("decimal(19,0)")
-    return term_relevance(counts).filter(
+    candidates = term_relevance(counts).filter(F.col("score") >= least_score(share, spread) * (1 - 1e-9))
+    return candidates.filter(
         (F.col("tf") * share >= F.col("file_length"))
         & (big("tf") * big("total") >= big("term_total") * (F.col("file_length") * lift).cast("decimal(19,0)"))
         & (F.col("files") >= fewest)
