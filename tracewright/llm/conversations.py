@@ -2,9 +2,10 @@
 
 Rows of a session log are read as a stream and reduced in the JVM to what validation needs: speaker,
 whether a message has text or calls, ids of calls and answers, and a digest of its texts. No text goes
-through the shuffle or into state; a line takes some tens of bytes there. State is keyed by session
-and buffers lines in any order. A session is validated and emitted once: when a closing line is there and
-no line before it is missing, or when the watermark passes its timeout, so late lines are waited for.
+through the shuffle or into state; a line takes some tens of bytes there. State is keyed by session: a list
+that lines are appended to in any order, so no batch rewrites what earlier ones brought. A session is
+validated and emitted once: when a closing line is there and no line before it is missing, or when the
+watermark passes the timer set by its last line, so late lines are waited for. State lies in RocksDB.
 
 The event time of a row in a live stream is a time of its delivery, as ``logged_at`` may be null or wrong.
 ``replay`` runs a bounded table through the stream: all its rows have one event time, whenever their files
@@ -17,14 +18,13 @@ without a session or line number belong to no session; an empty table gives an e
 
 from __future__ import annotations
 
-import pickle
-import zlib
+import json
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewright.runtime import scratch
 
@@ -39,6 +39,7 @@ DELAY = "1 hour"
 IDLE_MS = 3_600_000
 READ = "2000-01-01 00:00:00"
 END = "2200-01-01 00:00:00"
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 TURNS = T.StructType(
     [
@@ -48,7 +49,6 @@ TURNS = T.StructType(
         T.StructField("speaker", T.StringType()),
     ]
 )
-STATE = T.StructType([T.StructField("lines", T.BinaryType()), T.StructField("last", T.LongType()), T.StructField("done", T.BooleanType())])
 
 
 def speaker_of(role: Column) -> Column:
@@ -66,21 +66,28 @@ def lines_for_state(log: DataFrame, seen_at: Column) -> DataFrame:
     texts = F.transform(F.filter(items, lambda i: (i["type"] == "text") & i["text"].rlike(r"\S")), lambda i: i["text"])
     calls = F.filter(items, lambda i: i["type"] == "toolCall")
     speaker = speaker_of(F.col("message.role"))
+    number, answers = F.col("line_no").cast("bigint"), F.array_distinct(F.filter(F.transform(items, lambda i: i["id"]), lambda i: i.isNotNull()))
+    line = F.struct(
+        number,
+        F.col("entry_id").cast("bigint"),
+        F.coalesce(F.col("type") == "message", F.lit(False)),
+        speaker,
+        F.size(texts) > 0,
+        F.when(F.size(texts) > 0, F.md5(F.to_json(F.struct(texts.alias("t"))))),
+        F.transform(calls, lambda i: i["id"]),
+        F.when(speaker == "tool", answers).otherwise(F.array().cast("array<string>")),
+    )
     return log.filter(F.col("session_id").isNotNull() & F.col("line_no").isNotNull()).select(
-        "session_id",
-        F.col("line_no").cast("bigint").alias("line_no"),
-        "entry_id",
-        F.coalesce(F.col("type") == "message", F.lit(False)).alias("is_message"),
-        F.col("type").alias("kind"),
-        speaker.alias("speaker"),
-        (F.size(texts) > 0).alias("has_text"),
-        F.when(F.size(texts) > 0, F.md5(F.to_json(F.struct(texts.alias("t")))).substr(1, 16)).alias("digest"),
-        F.transform(calls, lambda i: i["id"]).alias("calls"),
-        F.when(speaker == "tool", F.array_distinct(F.transform(F.filter(items, lambda i: i["id"].isNotNull()), lambda i: i["id"]))).alias("answers"),
-        seen_at.cast("timestamp").alias("seen_at"),
+        "session_id", number.alias("line_no"), F.to_json(line, {"ignoreNullFields": "false"}).alias("line"), F.col("type").alias("kind"), seen_at.cast("timestamp").alias("seen_at")
     )
 
 
+def line_values(line: str) -> tuple:
+    """(line_no, entry_id, is_message, speaker, has_text, digest, calls, answers) of a line as kept in state."""
+    *plain, calls, answers = json.loads(line).values()
+    return (*plain, tuple(calls), tuple(answers))
+
+
 def sound_turns(lines: Iterable[tuple]) -> list[tuple[int, str]] | None:
     """The kept turns (entry_id, speaker) of a session in order; None if the session is not sound.
 
@@ -129,66 +136,68 @@ def sound_turns(lines: Iterable[tuple]) -> list[tuple[int, str]] | None:
     return kept
 
 
-def _state_function(closing: tuple[str, ...], idle_ms: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        def emit(lines) -> Iterator[pd.DataFrame]:
-            turns = sound_turns(lines)
-            if turns:
-                yield pd.DataFrame(
-                    {"session_id": key[0], "turn_no": range(1, len(turns) + 1), "entry_id": [e for e, _ in turns], "speaker": [s for _, s in turns]}
-                )
-
-        if state.hasTimedOut:
-            packed, _, done = state.get
-            state.remove()
-            if not done:
-                yield from emit(pickle.loads(zlib.decompress(packed)))
+class Conversations(StatefulProcessor):
+    """Lines of a session kept as a list, validated on closure or timeout."""
+
+    def __init__(self, closing: tuple[str, ...], idle_ms: int):
+        self.closing, self.idle_ms = closing, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getListState("lines", "line string")
+        self.closed = handle.getValueState("closed", "line_no bigint, emitted boolean")
+
+    def emitted(self, session: str, lines: Iterable[tuple]) -> Iterator[Row]:
+        for i, (entry, speaker) in enumerate(sound_turns(lines) or (), 1):
+            yield Row(session_id=session, turn_no=i, entry_id=entry, speaker=speaker)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        fresh, last, closed_at = {}, 0, 0
+        for r in rows:
+            if r.line is None:  # the end-of-input row
+                return
+            fresh[(r.line,)] = None
+            last = max(last, r.seen_ms or 0)
+            if r.kind in self.closing:
+                closed_at = max(closed_at, r.line_no)
+        closed, was_emitted = (self.closed.get() or (0, False)) if self.closing else (0, False)
+        if not was_emitted:
+            self.lines.appendList(list(fresh))
+        if closed_at > closed:
+            closed = closed_at
+            self.closed.update((closed, was_emitted))
+        if closed and not was_emitted:
+            lines = [line_values(x[0]) for x in self.lines.get()]
+            if {x[0] for x in lines} >= set(range(1, closed + 1)):
+                yield from self.emitted(key[0], lines)
+                self.lines.clear()
+                self.closed.update((closed, True))
+        self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if any(t > now for t in self.handle.listTimers()):  # a later line came
             return
-        packed, last, done = state.get if state.exists else (None, 0, False)
-        lines = set(pickle.loads(zlib.decompress(packed))) if packed else set()
-        closed_at = None
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.kind is None and r.line_no == 0:  # the end-of-input row
-                    continue
-                if not done:
-                    lines.add(
-                        (
-                            int(r.line_no),
-                            None if pd.isna(r.entry_id) else int(r.entry_id),
-                            bool(r.is_message),
-                            r.speaker,
-                            bool(r.has_text),
-                            r.digest,
-                            tuple(r.calls),
-                            tuple(r.answers) if r.answers is not None else (),
-                        )
-                    )
-                if r.kind in closing:
-                    closed_at = max(closed_at or 0, int(r.line_no))
-                if not pd.isna(r.seen_at):
-                    last = max(last, int(r.seen_at.timestamp() * 1000))
-        if not lines and not done:
-            return
-        if closed_at and not done and {x[0] for x in lines} >= set(range(1, closed_at + 1)):
-            yield from emit(lines)
-            lines, done = set(), True
-        state.update((zlib.compress(pickle.dumps(list(lines)), 1), last, done))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        yield from self.emitted(key[0], [line_values(x[0]) for x in self.lines.get()])
+        self.lines.clear()
+        self.closed.clear()
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def conversation_stream(lines: DataFrame, closing: tuple[str, ...] = (), delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
     """Validated turns of a stream of ``lines_for_state`` rows, emitted on closure or timeout.
 
     closing: types of rows that end a session. A session is emitted once; rows that come after that
-    and before its timeout are ignored, later ones open a new session.
+    and before its timeout are ignored, later ones open a new session. Sets the session's state store to RocksDB.
     """
+    lines.sparkSession.conf.set(*STORE)
     return (
-        lines.withWatermark("seen_at", delay)
+        lines.withColumn("seen_ms", F.unix_millis("seen_at"))
+        .withWatermark("seen_at", delay)
         .groupBy("session_id")
-        .applyInPandasWithState(_state_function(closing, idle_ms), TURNS, STATE, "append", "EventTimeTimeout")
+        .transformWithState(Conversations(closing, idle_ms), TURNS, "Append", "EventTime")
     )
 
 
@@ -202,16 +211,16 @@ def replay(spark: SparkSession, path: str, closing: tuple[str, ...] = (), files_
     The result does not depend on the batches: rows of a table have the event time ``READ``, so that the
     watermark stays before every timeout until that row.
     """
+    path = path.rstrip("/")
     schema = spark.read.parquet(path).schema
     home = scratch(spark, "conversations")
     # A file source takes a table of a single file only by a pattern; this one matches just the path.
     source = spark.readStream.schema(schema)
     log = (source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source).parquet(f"{path[:-1]}[{path[-1]}]")
     lines = lines_for_state(log, F.lit(READ))
-    end = spark.createDataFrame([("", 0)], "session_id string, line_no bigint")
-    for field in lines.schema.fields[2:]:
-        value = F.lit(END) if field.name == "seen_at" else F.array() if field.name == "calls" else F.lit(field.name == "has_text") if field.name in ("is_message", "has_text") else F.lit(None)
-        end = end.withColumn(field.name, value.cast(field.dataType))
+    end = spark.createDataFrame([("", 0)], "session_id string, line_no bigint").select(
+        "session_id", "line_no", F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("kind"), F.lit(END).cast("timestamp").alias("seen_at")
+    )
     end.limit(0).write.parquet(f"{home}/end")
     both = lines.unionByName(spark.readStream.schema(lines.schema).parquet(f"{home}/end"))
     turns = conversation_stream(both, closing)
