@@ -35,6 +35,18 @@ def test_cases(spark, library):
     )
 
 
+def test_long_words_and_many_words(spark, library):
+    """Windows of long words meet in a common token; many rare words keep their places."""
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    check(spark, library, [letters(5000), "任务已完成日志系统记录会话" * 100, "a" * 5001 + "-" * 3003, " ".join(letters(7) for _ in range(4000)), "x" + "\u0301" * 700])
+
+
+def test_windows_that_do_not_meet(spark, library, monkeypatch):
+    monkeypatch.setattr(encoding, "WINDOWS", (2, 4, 8))
+    check(spark, library, ["thequickbrownfoxjumps" * 3, "a" * 99, "任务已完成"])
+
+
 def test_repeats_and_empty(spark, library):
     docs = table(spark, ["zebrafish quokka", "ok"]).union(table(spark, ["zebrafish quokka"]))
     assert sorted((r["doc_id"], r["ids"]) for r in encoding.encode(docs).collect()) == [(0, library("zebrafish quokka")), (1, library("ok"))]
@@ -91,6 +103,21 @@ def test_best_fit_against_single_pieces():
         assert sorted(rooms) == sorted(r for r, n in got for _ in range(n))
 
 
+def test_lower_bound():
+    assert packing.lower_bound({}, 10) == 0
+    assert packing.lower_bound({6: 5}, 10) == 5  # none fit together
+    assert packing.lower_bound({6: 5, 4: 5}, 10) == 5 and packing.lower_bound({6: 5, 5: 5}, 10) == 8
+    assert packing.lower_bound({10: 3, 1: 1}, 10) == 4
+
+
+def test_scaled_histogram():
+    """Ten thousand times the pieces: fillings stay bounded by the lengths, containers near the bound."""
+    counts = {k: 10_000 * (1 + (k * 7919) % 40) for k in range(1, 900)}
+    fillings = packing.pack_histogram(counts, 3000)
+    assert len(fillings) <= 4 * len(counts)
+    assert sum(n for _, n in fillings) <= packing.lower_bound(counts, 3000) * 1.01 + 1
+
+
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr(packing, "PART", 50)
     sizes = [(i, (i * 37) % 400) for i in range(400)] + [(1000 + i, 120) for i in range(300)] + [(5000, 7001), (5001, None), (None, 5)]

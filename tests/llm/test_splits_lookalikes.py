@@ -64,7 +64,7 @@ def plain(s):
         if lk._unseen(ch):
             continue
         d = unicodedata.decomposition(ch)
-        for x in ch if d.startswith(lk._STAY) else unicodedata.normalize("NFKD", ch):
+        for x in ch if ch in ONE or d.startswith(lk._STAY) else unicodedata.normalize("NFKD", ch):
             if not lk._unseen(x):
                 out.append(" " if unicodedata.category(x) == "Zs" else ONE.get(x, x))
     s = "".join(out)
@@ -95,3 +95,13 @@ def test_pairs(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, form string")
     assert sorted(map(tuple, lk.same_look_pairs(df).collect())) == [(1, 2), (2, 3), (5, 6), (8, 9)]
     assert lk.same_look_pairs(df.limit(0)).count() == 0
+
+
+def test_groups_against_pairs(spark):
+    texts = ["ab", "\uff41b", "\u0430b", "ab", "x", None, "", "a\u0007b", "\u0600 1"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    groups = {r["doc_id"]: (r["class_id"], r["links"]) for r in lk.same_look_groups(docs).collect()}
+    assert groups == {0: (0, 3), 1: (0, 4), 2: (0, 4), 3: (0, 3), 4: (4, 0), 6: (6, 0), 7: (0, 4), 8: (8, 0)}
+    pairs = [tuple(r) for r in lk.same_look_pairs(docs).collect()]
+    assert sum(n for _, n in groups.values()) == 2 * len(pairs)
+    assert lk.same_look_groups(docs.limit(0)).count() == 0

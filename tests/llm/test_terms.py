@@ -78,3 +78,12 @@ def test_sql(spark, sf, name):
     cols = [c[0] for c in rel.description]
     got = queries.QUERIES[name](spark, sf).select(*cols).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rel.fetchall()))
+
+
+def test_score_bound_drops_no_distinctive_term(spark):
+    """The rows over the least score hold every row that meets the conditions, at the edges too."""
+    rows = [(f"f{i}", 1, f"t{j}", n, T(1)) for i in range(60) for j, n in ((i % 12, 1 + i % 3), (12 + i // 6, 1), (99, 9), (200 + i, 1 + 40 * (i % 2)))]
+    scored = terms.term_relevance(table(spark, rows))
+    want = scored.filter("tf * 10 >= file_length and tf * total >= term_total * file_length * 10 and files >= 2 and files * 10 <= file_count")
+    key = lambda df: sorted((r["file_name"], r["token"]) for r in df.collect())
+    assert key(terms.distinctive_terms(table(spark, rows))) == key(want) != []

@@ -7,7 +7,7 @@ by searches in sorted pair tables, over the whole batch. No string call is made
 
 One form: compatibility forms (full-width, joined and other presentation forms) become what they
 stand for, accents are composed, characters that do not show are dropped, every kind of blank is a
-space, look-alike letters and hyphens become one of them. Tabs, line feeds and carriage returns stay, as
+space, look-alike letters and hyphens become one of them. Tabs and line ends stay, as
 do case, accents, digits, punctuation and the number of blanks. Null stays null, an empty text empty.
 """
 
@@ -31,21 +31,27 @@ LOOKALIKES = (
     "οo ϲc ϳj νv "  # Greek small
     "ɑa ɡg "  # other Latin
     "ՕO օo ցg հh ոn սu "  # Armenian
+    "αa ρp ιi "  # Greek small that differ in few fonts
+    "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏔW ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB "  # Cherokee
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU "  # Lisu
+    "ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲟo ⲢP ⲣp ⲤC ⲥc ⲦT ⲬX "  # Coptic
 )
 # Hyphens that look like U+002D.
 HYPHENS = "‐‑‒–−﹣－⁃˗"
 #: Characters that do not show although their category is no format or control.
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
-_KEPT_CONTROLS = "\t\n\r"
+#: Format characters that show, as they stand before the digits they enclose.
+SHOWN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
+_KEPT_CONTROLS = "\t\n\x0b\x0c\r\x85"
 #: Kinds of compatibility form that do not look like what they stand for, and stay.
 _STAY = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<vertical>")
 
 
 def _unseen(ch: str) -> bool:
     o = ord(ch)
-    if ch in _KEPT_CONTROLS:
+    if ch in _KEPT_CONTROLS or ch in SHOWN:
         return False
-    return ch in UNSEEN or unicodedata.category(ch) == "Cf" or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF
+    return ch in UNSEEN or unicodedata.category(ch) in ("Cf", "Cc") or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF
 
 
 @lru_cache(maxsize=1)
@@ -222,6 +228,27 @@ def unified(df: DataFrame, column: str = "text", into: str = "form") -> DataFram
     return df.drop(into).mapInArrow(run, schema)
 
 
+def _digests(documents: DataFrame) -> DataFrame:
+    """(doc_id, form, own): 128-bit digests of a text's form and of itself, as a written table."""
+    from tracewright.runtime import written
+
+    texts = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return written(unified(texts).select("doc_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("own")), "forms")
+
+
+def same_look_groups(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, links) of each document: the least doc_id of its form, and how many look like it but differ.
+
+    Exact copies are one text; counts are combined per form and text before they meet, so work is linear
+    however large a class. Null texts have no row.
+    """
+    digests = _digests(documents).distinct()
+    per_text = digests.groupBy("form", "own").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    per_form = per_text.groupBy("form").agg(F.min("first").alias("class_id"), F.sum("copies").alias("members"))
+    own = per_text.select("form", "own", "copies").join(per_form, "form").select("form", "own", "class_id", (F.col("members") - F.col("copies")).alias("links"))
+    return digests.join(own, ["form", "own"]).select("doc_id", "class_id", "links")
+
+
 def same_look_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents whose texts differ as strings but look the same.
 
@@ -231,14 +258,7 @@ def same_look_pairs(documents: DataFrame) -> DataFrame:
     pairs, however many exact copies a text has; a document without a look-alike leaves before any join.
     Null texts look like nothing.
     """
-    from tracewright.runtime import written
-
-    digests = written(
-        unified(documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())).select(
-            "doc_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("own")
-        ),
-        "forms",
-    )
+    digests = _digests(documents)
     mixed = digests.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter(F.col("lo") != F.col("hi")).select("form")
     members = digests.join(mixed, "form", "left_semi")
     texts = members.select("form", "own").distinct()

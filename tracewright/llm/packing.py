@@ -21,7 +21,6 @@ from tracewright.runtime import written
 
 #: Rows of a length per salted part, about.
 PART = 50_000
-ROUNDS = 400
 #: Shares of a container that fillings must reach, one after another; any length in numbers reaches the last.
 FULL = (0.999, 0.99, 0.97, 0.9, 0.75, 0.5)
 #: Pieces per length, on average, that are left to best fit once no filling is nearly full.
@@ -57,7 +56,7 @@ def best_filling(prices: np.ndarray, counts: np.ndarray, capacity: int) -> np.nd
     return out
 
 
-def configuration_program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.1) -> list[tuple[np.ndarray, float]]:
+def configuration_program(counts: np.ndarray, capacity: int, step: float = 0.1) -> list[tuple[np.ndarray, float]]:
     """[(filling, use)]: a fractional cover of the pieces by fillings, by multiplicative weights.
 
     counts[l] pieces of length l are wanted; the price of a length starts as its share of the capacity,
@@ -66,8 +65,8 @@ def configuration_program(counts: np.ndarray, capacity: int, rounds: int = ROUND
     its scarcest length allows, and the prices of the lengths fall by the share of them that was
     covered. Once such fillings leave more than 1 - ``full`` of a container empty, ``least`` is halved, and
     below two uses the next of ``FULL`` holds, as long as more than ``REST`` pieces a length are wanted. As
-    every round uses up a length, there are no more rounds than lengths; ``rounds`` limits those of the
-    first ``full``. What is still wanted is left to the rounding.
+    every round uses up a length, there are no more rounds than lengths, which alone ends the program. What is
+    still wanted is left to the rounding.
     """
     wanted = counts.astype(float).copy()
     weight = np.ones(capacity + 1)
@@ -76,7 +75,7 @@ def configuration_program(counts: np.ndarray, capacity: int, rounds: int = ROUND
     many = REST * np.count_nonzero(counts)
     for full in FULL:
         least = 1 << int(max(wanted.max(), 1)).bit_length()
-        while len(out) < rounds or full < FULL[0] and wanted.sum() > many:
+        while full == FULL[0] or wanted.sum() > many:
             prices = weight * lengths / capacity
             filling = None
             while least >= 2:
@@ -100,13 +99,13 @@ def configuration_program(counts: np.ndarray, capacity: int, rounds: int = ROUND
     return out
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """[(filling as {length: pieces}, number of containers)] that holds every piece of the histogram once."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     out: list[tuple[dict[int, int], int]] = []
-    for filling, use in configuration_program(left, capacity, rounds):
+    for filling, use in configuration_program(left, capacity):
         used = np.flatnonzero(filling)
         n = int(min(np.floor(use + 1e-9), (left[used] // filling[used]).min()))
         if n > 0:
@@ -152,6 +151,26 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
     return [group for groups in by_room.values() for group in groups]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """A number of containers that no packing of the histogram is below, by feasible prices of the program's dual.
+
+    Prices are feasible if no filling is worth more than one container. With ``length / capacity`` they give the
+    volume bound. For each k up to half the capacity so are these: 1 for lengths above capacity - k, 0 for
+    lengths below k, and ``length / capacity`` between them.
+    """
+    n = np.zeros(capacity + 2, np.int64)
+    for length, count in counts.items():
+        n[length] += count
+    above = np.cumsum(n[::-1])[::-1]  # pieces of at least a length
+    volume = np.cumsum((n * np.arange(capacity + 2))[::-1])[::-1]
+    best = 0
+    for k in range(capacity // 2 + 1):
+        big = capacity - k + 1
+        between = int(volume[min(k, big)] - volume[big])
+        best = max(best, int(above[big]) + -(-between // capacity))
+    return best
+
+
 def split_items(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """(key, part_no, length): items as pieces of at most ``capacity``; those of size null or 0 have none."""
     parts = F.ceil(F.col(size) / F.lit(capacity)).cast("int")
@@ -162,7 +181,7 @@ def split_items(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFra
     )
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int = 3000, rounds: int = ROUNDS) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int = 3000) -> DataFrame:
     """(key, part_no, length, container): every piece of every item in a container of ``capacity``.
 
     Only the histogram (at most ``capacity`` rows), the fillings (at most a few per length) and the number of rows
@@ -178,7 +197,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     taken: dict[int, int] = {}
     ranges: dict[int, list[tuple[int, int, int]]] = {}
     container = 0
-    for filling, n in pack_histogram(histogram, capacity, rounds):
+    for filling, n in pack_histogram(histogram, capacity):
         for length, k in filling.items():
             ranges.setdefault(length, []).append((taken.get(length, 0), k, container))
             taken[length] = taken.get(length, 0) + n * k
@@ -199,12 +218,20 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
 
 
 def packing_report(packed: DataFrame, capacity: int = 3000) -> DataFrame:
-    """One row: containers, pieces, tokens, the least number of containers by volume, and the share filled."""
+    """One row: containers, pieces, tokens, the least number of containers by the dual, the gap to it and the share filled.
+
+    The histogram of lengths, at most ``capacity`` rows, goes to the driver.
+    """
+    counts = {r["length"]: r["n"] for r in packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     per = packed.groupBy("container").agg(F.sum("length").alias("filled"), F.count(F.lit(1)).alias("pieces"))
-    return per.agg(
-        F.count(F.lit(1)).alias("containers"),
-        F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"),
-        F.coalesce(F.sum("filled"), F.lit(0)).alias("tokens"),
-        F.ceil(F.coalesce(F.sum("filled"), F.lit(0)) / F.lit(capacity)).alias("least_containers"),
-        F.coalesce(F.max("filled"), F.lit(0)).alias("fullest"),
-    ).withColumn("filled", F.round(F.try_divide("tokens", F.col("containers") * capacity), 6))
+    return (
+        per.agg(
+            F.count(F.lit(1)).alias("containers"),
+            F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"),
+            F.coalesce(F.sum("filled"), F.lit(0)).alias("tokens"),
+            F.coalesce(F.max("filled"), F.lit(0)).alias("fullest"),
+        )
+        .withColumn("least_containers", F.lit(lower_bound(counts, capacity)).cast("bigint"))
+        .withColumn("gap", F.round(F.coalesce(F.try_divide(F.col("containers") - F.col("least_containers"), "least_containers"), F.lit(0.0)), 6))
+        .withColumn("filled", F.round(F.try_divide("tokens", F.col("containers") * capacity), 6))
+    )
