@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Setting: partitions of a scan before work that is heavy per row.
+SCAN_PARTITIONS = "tracewright.scan.partitions"
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, app: str = "tracewright") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own session."""
     spark = (
@@ -18,6 +22,7 @@ def local_session(cpus: int = 8, partitions: int | None = None, app: str = "trac
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TRACEWRIGHT_DRIVER_MEMORY", "8g"))
+        .config(SCAN_PARTITIONS, str(cpus))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -34,14 +39,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the checkpoint folder of the context or of ``spark.checkpoint.dir``. Only where neither is
-    set, as in tests on one machine, a temporary folder is made and set.
+    It is the checkpoint folder of the context or of ``spark.checkpoint.dir``. Where neither is set, a
+    temporary folder is made and set if the session is local, as in tests; on a cluster that is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     now = jsc.getCheckpointDir()
     if now.isDefined():
         return now.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tracewright-")
     spark.sparkContext.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()
 
@@ -66,9 +75,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, a scan, over at least as many partitions as there are cores, for work heavy per row.
+    """``df``, a scan, over as many partitions as ``tracewright.scan.partitions`` names; as it is where that is unset.
 
-    Only an input of fewer splits than cores is shuffled, which is a small one.
+    For sessions over tables of few files, before work that is heavy per row.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
