@@ -155,6 +155,21 @@ def test_layouts_of_frequent_templates(spark):
     assert [r[:2] for r in entries(spark, [("f", i, m) for i, m in enumerate(once, 1)])] == [(1, 2)]
 
 
+def test_no_entries_without_dictionaries(spark, sf, monkeypatch):
+    """Heads are found by the n-grams: without them no line of the table starts an entry."""
+    raw, files = (read_table(spark, sf, n) for n in ("audit_raw", "audit_files"))
+    assert logparse.log_entries(raw, files).count() > 100
+    monkeypatch.setattr(logparse, "frequent_ngrams", lambda *a: set())
+    assert logparse.log_entries(raw, files).count() == 0
+
+
+def test_fields_far_behind(spark):
+    """Whole lines count: a head may be long, and an object's time behind many members."""
+    far = "[" + " ".join(f"k{i}=v{i}" for i in range(40)) + "] x"
+    line = "time=2026-04-20T12:28:39.933Z " + " ".join(f"n{i}={i}" for i in range(40)) + " level=Crit component=webfetch msg=1"
+    assert entries(spark, [("f", 1, far), ("f", 2, line)]) == [(2, 2, "2026-04-20 12:28:39.933", "FATAL", "webfetch")]
+
+
 def test_members_behind_the_head(spark):
     """An object in one line has its time, level and logger behind many members or a nested object."""
     many = "{" + "".join(f'"k{i}": {i}, ' for i in range(30)) + '"ctx": {"at": "2020-01-01T00:00:00Z", "who": "x"}, "ts": "2025-12-18T17:33:23.955Z", "lvl": "dbg", "logger": "queue.worker"}'

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Setting: partitions of a scan before work that is heavy per row.
-SCAN_PARTITIONS = "tracewright.scan.partitions"
+SCAN_PARTITIONS = "spark.tracewright.scan.partitions"
 
 
 def local_session(cpus: int = 8, partitions: int | None = None, app: str = "tracewright") -> SparkSession:
@@ -75,7 +75,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, a scan, over as many partitions as ``tracewright.scan.partitions`` names; as it is where that is unset.
+    """``df``, a scan, over as many partitions as ``spark.tracewright.scan.partitions`` names; as it is where that is unset.
 
     For sessions over tables of few files, before work that is heavy per row.
     """
