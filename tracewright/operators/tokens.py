@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
+from tracewright.functions.numeric import loaded_count, loaded_number, ratio
 
 
 def line_tokens(lines: DataFrame) -> DataFrame:
@@ -33,10 +34,25 @@ def file_count(per_file: DataFrame) -> DataFrame:
     return per_file.select("file_name").distinct().agg(F.count(F.lit(1)).alias("file_count"))
 
 
+def read_once(lines: DataFrame) -> DataFrame:
+    """(file_name, line_no, msg): lines that were read twice count once, the greatest text should they differ."""
+    return lines.groupBy("file_name", "line_no").agg(F.max("msg").alias("msg"))
+
+
 def fact_rows(chunks: DataFrame) -> DataFrame:
-    """(file_name, token, count) of a fact table whose files come in chunks; unusable rows left out."""
+    """(file_name, token, count) of a fact table whose files come in chunks, some of them loaded again.
+
+    Of the rows of a (file, chunk, token) the one loaded last counts; then rows with a null or blank token, a null file
+    name or a count below one hold nothing. Rows are shuffled once, by (file, token).
+    """
     return (
-        chunks.filter(F.col("file_name").isNotNull() & (F.trim("token") != "") & (F.col("count") >= 1))
+        chunks.filter(F.col("file_name").isNotNull() & (F.trim("token") != ""))
+        .select("file_name", "chunk_no", "token", loaded_number(F.col("loaded_at"), F.col("count")).alias("loaded"))
+        .repartition("file_name", "token")
+        .groupBy("file_name", "token", "chunk_no")
+        .agg(F.max("loaded").alias("loaded"))
+        .withColumn("count", loaded_count(F.col("loaded")))
+        .filter(F.col("count") >= 1)
         .groupBy("file_name", "token")
         .agg(F.sum("count").alias("count"))
     )
@@ -129,8 +145,6 @@ def host_counters(lines: DataFrame) -> DataFrame:
     execve = syscall & (F.contains("line", F.lit("SYSCALL=execve")) | F.contains("line", F.lit("syscall=59")))
     arg_line, shown = _payloads(F.col("line"))
     chars = F.aggregate(F.transform(shown, lambda p: F.length(p)), F.lit(0), lambda a, n: a + n)
-    from tracewright.functions.numeric import ratio
-
     c = one.groupBy("file_name").agg(
         F.count_if(syscall).alias("syscall_total"),
         F.count_if(failed).alias("syscall_failed"),

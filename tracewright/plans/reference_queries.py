@@ -22,12 +22,16 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return read_table(spark, d, name)
 
 
+def _lines(spark, d):
+    return tokens.read_once(_t(spark, d, "audit_raw"))
+
+
 def kv_tokens(spark, d):
-    return tokens.line_tokens(_t(spark, d, "audit_raw"))
+    return tokens.line_tokens(_lines(spark, d))
 
 
 def token_counts_per_file(spark, d):
-    return tokens.counts_per_file(_t(spark, d, "audit_raw"))
+    return tokens.counts_per_file(_lines(spark, d))
 
 
 def token_counts(spark, d):
@@ -59,7 +63,7 @@ def capped_document(spark, d):
 
 
 def host_numeric(spark, d):
-    return tokens.host_counters(_t(spark, d, "audit_raw"))
+    return tokens.host_counters(_lines(spark, d))
 
 
 def _audit(spark, d):
@@ -253,13 +257,13 @@ def _words(spark, d):
 
 def tfidf_vocab(spark, d):
     counts, docs = _words(spark, d)
-    v = features.tfidf_vocabulary(counts, docs, "doc_id", max_features=5000)
+    v = features.tfidf_vocabulary(counts, docs, "doc_id")
     return v.select("term", "df", "total_tf", F.round("idf", 6).alias("idf"))
 
 
 def tfidf(spark, d):
     counts, docs = _words(spark, d)
-    w = features.tfidf(counts, features.tfidf_vocabulary(counts, docs, "doc_id", max_features=5000), "doc_id")
+    w = features.tfidf(counts, features.tfidf_vocabulary(counts, docs, "doc_id"), "doc_id")
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

@@ -3,11 +3,13 @@
 _NAME = r"regexp_replace(lower(trim({0}, ' ' || chr(9) || chr(65279))), '(_audit-logs\.log|_network\.pcap)$', '')"
 _AUDIT = f"SELECT DISTINCT {_NAME.format('file_name')} AS name FROM audit_files WHERE file_name IS NOT NULL"
 _PCAP = f"SELECT DISTINCT {_NAME.format('pcap_name')} AS name FROM pcap_files WHERE pcap_name IS NOT NULL"
+_READ = "SELECT file_name, line_no, max(msg) AS msg FROM audit_raw GROUP BY ALL"
 _KV = r"""'\b([a-zA-Z][\w-]*)=("[^"]*"|\([^)]*\)|[^\s\x1c-\x1f]+)'"""
 _LINE = f"""SELECT file_name, line_no, list_filter(list_transform(list_transform(regexp_extract_all(msg, {_KV}, 0), lambda m: regexp_replace(lower(m), '''+$', '')),
-  lambda t: CASE WHEN regexp_matches(t, '^[^=]*="$') THEN t || '"' ELSE t END), lambda t: NOT starts_with(t, 'msg=')) AS t FROM audit_raw WHERE msg IS NOT NULL"""
+  lambda t: CASE WHEN regexp_matches(t, '^[^=]*="$') THEN t || '"' ELSE t END), lambda t: NOT starts_with(t, 'msg=')) AS t FROM ({_READ}) WHERE msg IS NOT NULL"""
 _PER_FILE = f"SELECT file_name, token, count(*) AS count FROM (SELECT file_name, unnest(t) AS token FROM ({_LINE})) GROUP BY ALL"
-_FACTS = "SELECT file_name, token, sum(count)::BIGINT AS count FROM per_file_counts WHERE file_name IS NOT NULL AND trim(token, ' ') <> '' AND count >= 1 GROUP BY ALL"
+_FACTS = """SELECT file_name, token, sum(c)::BIGINT AS count FROM (SELECT file_name, chunk_no, token, arg_max(count, loaded_at) AS c FROM per_file_counts
+  WHERE file_name IS NOT NULL AND trim(token, ' ') <> '' GROUP BY ALL) WHERE c >= 1 GROUP BY ALL"""
 _SKIP = "regexp_matches(token, '^(a[0-3]|pid)=')"
 _RESULTS = "SELECT DISTINCT * FROM results"
 _SCORED = "SELECT *, result_id % 10 AS fold FROM (SELECT DISTINCT * FROM results) WHERE label IN (0, 1) AND pred IN (0, 1)"
@@ -28,7 +30,7 @@ _NET = """SELECT file_name, split_part(t, ':', 1) AS kind, regexp_replace(t, '^[
   FROM (SELECT file_name, unnest(regexp_split_to_array(net_text, ' +')) AS t FROM sample_features WHERE net_text IS NOT NULL) WHERE contains(t, ':')"""
 _WORDS = r"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL"
 _VOCAB = f"""SELECT term, df, total_tf, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM ({_WORDS}) GROUP BY term),
-  (SELECT count(*) AS n FROM documents) WHERE df >= 2 AND df <= n * 0.95::DOUBLE ORDER BY total_tf DESC, term LIMIT 5000"""
+  (SELECT count(*) AS n FROM documents) WHERE df >= 2 AND df <= n * 0.95::DOUBLE ORDER BY total_tf DESC, term LIMIT 100000"""
 _TOK = r"SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda t: t <> '') AS t FROM documents"
 
 
@@ -59,7 +61,7 @@ _LOGGED = (0, 1, 2, 3, 5, 6, 7, 11, 12, 13, 14)
 _WEIGHTS = (0.001, 0.02, -0.01, 1.5, 0.05, -0.3, 0.7, 0.002)
 _SCORE = " + ".join(f"host_numeric[{i + 1}] * ({w}::DOUBLE)" for i, w in enumerate(_WEIGHTS)) + " + (-0.5::DOUBLE)"
 _HOST = r"""
-WITH l AS (SELECT file_name, unnest(regexp_split_to_array(coalesce(msg, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]')) AS line FROM audit_raw),
+WITH l AS (SELECT file_name, unnest(regexp_split_to_array(coalesce(msg, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]')) AS line FROM (""" + _READ + r""")),
 c AS (SELECT file_name, contains(line, 'type=SYSCALL') AS sys, contains(line, 'success=no') AS failed, regexp_extract(line, '\bexit=(-?\d+)', 1) = '-2' AS two,
   contains(line, 'SYSCALL=execve') OR contains(line, 'syscall=59') AS exe,
   CASE WHEN regexp_matches(line, 'type=EXECVE\b') THEN coalesce(list_sum(list_transform(regexp_extract_all(line, '\ba\d+=([0-9A-Fa-f]{8,})\b', 1),
