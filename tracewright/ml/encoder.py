@@ -69,6 +69,11 @@ def embed(documents: DataFrame, key: str, text: str, encoder: Encoder | None = N
     return documents.select(*columns).mapInPandas(run, schema)
 
 
+def with_digest(vectors: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, content, embedding): vectors with the digest of their text, as a cache holds them."""
+    return vectors.join(documents.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content")), key).select(key, "content", "embedding")
+
+
 def cached_embeddings(documents: DataFrame, cache: DataFrame, key: str, text: str, **options: object) -> DataFrame:
     """Cached vectors where the cache has the key and the text's digest, new ones for the rest."""
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,37 +74,56 @@ def net_meta_text(tokens: DataFrame, key: str) -> DataFrame:
     return sets.select(key, F.array_join(F.transform("s", lambda x: F.concat(x["kind"], F.lit(":"), x["value"])), " ").alias("net_text"))
 
 
+_DOMAIN = re.compile(net.DOMAIN)
 _HOSTS = "file string, kind string, value string"
 
 
+class _Flow:
+    """The payload of one flow so far, and where its last line starts."""
+
+    def __init__(self, key: tuple):
+        self.key, self.data, self.line, self.named = key, bytearray(), 0, False
+
+    def take(self, port: int, part: bytes) -> Iterator[tuple[str, str]]:
+        """(kind, value) that show once a packet has come; only what it brought is read."""
+        self.data += part[: FLOW_BYTES - len(self.data)]
+        if port == 443:
+            if not self.named and self.data[0] == 0x16 and (name := net.tls_server_name(bytes(self.data))):
+                self.named = True
+                yield "sni", name
+        elif port in WEB_PORTS:
+            lines = bytes(self.data[self.line :]).split(b"\r\n")
+            self.line = len(self.data) - len(lines[-1])
+            for line in lines:
+                if line[:5].lower() == b"host:" and len(line) < 2048:
+                    host = line[5:].decode("utf-8", "replace").strip().lower().rstrip(".")
+                    if 1 <= len(host) <= 253 and _DOMAIN.match(host):
+                        yield "host", host
+
+
+def _names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names of the flows of a partition, whose packets come flow by flow in order."""
+    flow = None
+    for pdf in batches:
+        out = set()
+        for file, key, port, part in zip(pdf["file"], pdf["flow"], pdf["dport"], pdf["payload"]):
+            if flow is None or flow.key != (file, key):
+                flow = _Flow((file, key))
+            if len(flow.data) < FLOW_BYTES:
+                out.update((file, kind, value) for kind, value in flow.take(port, bytes(part)))
+        yield pd.DataFrame(sorted(out), columns=["file", "kind", "value"])
+
+
 def flow_names(packets: DataFrame) -> DataFrame:
     """(file, kind, value): server names and HTTP hosts of TCP flows.
 
     packets: ``file, flow, pkt_idx, dport, payload``. Payloads of a flow are joined in packet order up to
     64 KiB; hosts are read after every packet, as a header cut at a packet's edge shows there; a server name
-    is read once the payload holds it. Flows are not evicted.
+    is read once the payload holds it. Flows are not evicted. A flow is read as a stream of its partition,
+    never held as a group.
     """
-
-    def per_flow(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        pdf = pdf.sort_values("pkt_idx")
-        out: set[tuple[str, str, str]] = set()
-        data = b""
-        file = pdf["file"].iloc[0]
-        for port, part in zip(pdf["dport"], pdf["payload"]):
-            data = (data + bytes(part or b""))[:FLOW_BYTES]
-            if port == 443:
-                if name := net.tls_server_name(data):
-                    out.add((file, "sni", name))
-            elif port in WEB_PORTS:
-                for line in data.split(b"\r\n"):
-                    if line[:5].lower() == b"host:":
-                        host = line[5:].decode("utf-8", "replace").strip().lower().rstrip(".")
-                        if 1 <= len(host) <= 253 and re.match(net.DOMAIN, host):
-                            out.add((file, "host", host))
-        return pd.DataFrame(sorted(out), columns=["file", "kind", "value"])
-
-    size = F.sum(F.octet_length("payload")).over(Window.partitionBy("file", "flow").orderBy("pkt_idx").rowsBetween(Window.unboundedPreceding, -1))
-    kept = packets.filter((F.octet_length("payload") > 0) & F.col("dport").isin(443, *WEB_PORTS)).withColumn("__before", F.coalesce(size, F.lit(0))).filter(F.col("__before") < FLOW_BYTES)
-    return kept.select("file", "flow", "pkt_idx", "dport", "payload").groupBy("file", "flow").applyInPandas(per_flow, _HOSTS).distinct()
+    w = Window.partitionBy("file", "flow").orderBy("pkt_idx").rowsBetween(Window.unboundedPreceding, -1)
+    kept = packets.filter((F.octet_length("payload") > 0) & F.col("dport").isin(443, *WEB_PORTS)).select("file", "flow", "pkt_idx", "dport", "payload")
+    first = kept.withColumn("__before", F.coalesce(F.sum(F.octet_length("payload")).over(w), F.lit(0))).filter(F.col("__before") < FLOW_BYTES)
+    # The window has brought each flow into one partition.
+    return first.sortWithinPartitions("file", "flow", "pkt_idx").select("file", "flow", "dport", "payload").mapInPandas(_names, _HOSTS).distinct()

@@ -87,6 +87,16 @@ def misclassified_summary(wrong: DataFrame, key: str) -> DataFrame:
     )
 
 
+def wrong_first(wrong: DataFrame, key: str) -> DataFrame:
+    """Misclassified records in the order of the report: most wrong folds first, then by name."""
+    return wrong.orderBy(F.desc("wrong_folds"), key)
+
+
+def first_groups(groups: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """The first ``k`` groups by name, as a report of mixed or leaking groups shows them."""
+    return groups.orderBy(group).limit(k)
+
+
 def fold_metrics(rows: DataFrame, fold: str = "fold") -> DataFrame:
     """Per fold: sizes, class counts, rounded metrics. The training side is the whole less the fold."""
     c = classification(rows, fold)

@@ -27,6 +27,15 @@ def host_features(lines: DataFrame) -> DataFrame:
     return tokens.host_counters(lines).select("file_name", F.array(*[F.col(c).cast("double") for c in nu.HOST_NAMES]).alias("host_numeric"))
 
 
+def packet_names(packets: DataFrame) -> DataFrame:
+    """(file, kind, value): distinct DNS names, server names, HTTP hosts and far public addresses of captures."""
+    good = packets.filter(F.col("error").isNull())
+    dns = good.filter(F.col("dns").isNotNull()).select("file", F.lit("dns").alias("kind"), F.explode("dns").alias("value")).filter(net.valid_domain(F.col("value")))
+    ips = good.select("file", F.lit("ip").alias("kind"), net.remote_public(F.col("src"), F.col("dst")).alias("value")).filter(F.col("value").isNotNull())
+    tcp = good.filter((F.col("proto") == "tcp") & (F.octet_length("payload") > 0)).withColumn("flow", F.concat_ws("-", F.hex("src"), "sport", F.hex("dst"), "dport"))
+    return dns.unionByName(ips).unionByName(flow.flow_names(tcp)).distinct()
+
+
 def packet_features(packets: DataFrame) -> DataFrame:
     """(file, net_numeric, net_text) of captures: counters, lengths, gaps and names."""
     good = packets.filter(F.col("error").isNull())
@@ -39,10 +48,7 @@ def packet_features(packets: DataFrame) -> DataFrame:
         F.coalesce(F.sum("ip_bytes"), F.lit(0.0)).alias("total"),
         F.coalesce(F.sum(F.when(up, F.col("ip_bytes"))), F.lit(0.0)).alias("up"),
     )
-    dns = good.filter(F.col("dns").isNotNull()).select("file", F.lit("dns").alias("kind"), F.explode("dns").alias("value")).filter(net.valid_domain(F.col("value")))
-    ips = good.select("file", F.lit("ip").alias("kind"), net.remote_public(F.col("src"), F.col("dst")).alias("value")).filter(F.col("value").isNotNull())
-    tcp = good.filter((F.col("proto") == "tcp") & (F.octet_length("payload") > 0)).withColumn("flow", F.concat_ws("-", F.hex("src"), "sport", F.hex("dst"), "dport"))
-    names = dns.unionByName(ips).unionByName(flow.flow_names(tcp)).distinct()
+    names = packet_names(packets)
     counts, text = flow.domain_counts(names, "file"), flow.net_meta_text(names, "file")
     d = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     numbers = [d("packet_count"), d("total"), d("up"), d("total") - d("up"), nu.ratio(d("up"), d("total")), d("pkt_len_min"), d("pkt_len_max"), d("pkt_len_mean"), d("pkt_len_std"), d("iat_mean"), d("iat_std"), d("iat_max"), d("dns_domain_count"), d("sni_count"), d("http_host_count")]

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 # Fixed value: the columns of the distribution report.
 DISTRIBUTION = ("token", "total_count", "avg_per_file", "file_count", "files_with_token", "files_without_token", "presence_ratio", "min_per_file", "p25_per_file", "median_per_file", "p75_per_file", "max_per_file", "std_per_file", "mean_per_file")
 
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with header, replacing what is there; one file only for small reports."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header, quotes doubled and blanks kept, replacing what is there; one file only for small reports."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_token_table(per_file: DataFrame, path: str) -> None:
@@ -49,7 +51,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def write_embeddings(vectors: DataFrame, fingerprint: str, path: str) -> None:
-    """The embedding cache (file_name, embedding, label) with the fingerprint of its corpus."""
+    """The embedding cache (key, content, embedding) of ``cached_embeddings`` with the fingerprint of its corpus."""
     vectors.withColumn("fingerprint", F.lit(fingerprint)).write.mode("overwrite").parquet(path)
 
 

@@ -29,10 +29,15 @@ def audit_lines_numbered(spark: SparkSession, path: str) -> DataFrame:
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, token, count) of a token CSV with header; rows that do not parse are left out."""
-    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").schema("file_name string, token string, count string").csv(path)
+    rows = spark.read.options(header=True, mode="PERMISSIVE", escape='"').schema("file_name string, token string, count string").csv(path)
     return rows.withColumn("count", F.col("count").try_cast("int")).filter(F.col("count").isNotNull())
 
 
+def embedding_cache(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
+    """(key, content, embedding) of the cache at ``path``, of rows with this fingerprint."""
+    return spark.read.parquet(path).filter(F.col("fingerprint") == fingerprint).drop("fingerprint")
+
+
 def audit_corpus(spark: SparkSession, folder: str, csv: str | None = None, cap: int = tx.MAX_REPEAT) -> DataFrame:
     """(file_name, text) of each log: from the token CSV if there is one, else from the raw logs."""
     from tracewright.operators import tokens

@@ -130,7 +130,11 @@ _COLUMNS = [c.split()[0] for c in PACKETS.split(", ")]
 
 def packets(spark: SparkSession, path: str, name_filter: str = "*.pcap") -> DataFrame:
     """Packets of all captures below ``path``; see the module for errors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", name_filter).option("recursiveFileLookup", True).load(path).select("path", "content")
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", name_filter).option("recursiveFileLookup", True).load(path).select("path", "content"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Packets of captures given as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
