@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 PACKETS = "file string, pkt_idx bigint, ts double, length int, ip_len int, src binary, dst binary, proto string, sport int, dport int, payload binary, dns array<string>, error string"
@@ -125,7 +125,8 @@ def decode_frame(frame: bytes) -> dict:
     return out
 
 
-_COLUMNS = [c.split()[0] for c in PACKETS.split(", ")]
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in PACKETS.split(", "))])
 
 
 def packets(spark: SparkSession, path: str, name_filter: str = "*.pcap") -> DataFrame:
@@ -136,21 +137,19 @@ def packets(spark: SparkSession, path: str, name_filter: str = "*.pcap") -> Data
 def decoded(files: DataFrame) -> DataFrame:
     """Packets of captures given as (path, content)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows: list[dict] = []
-                i = 0
                 try:
-                    for ts, frame in read_capture(bytes(content)):
+                    for i, (ts, frame) in enumerate(read_capture(content.as_py() or b"")):
                         rows.append({"file": path, "pkt_idx": i, "ts": ts, "length": len(frame)} | decode_frame(frame))
-                        i += 1
                         if len(rows) == 10_000:
-                            yield pd.DataFrame(rows).reindex(columns=_COLUMNS).astype(object).where(lambda x: x.notna(), None)
+                            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
                             rows = []
                 except (ValueError, struct.error) as e:
                     rows.append({"file": path, "error": str(e)})
                 if rows:
-                    yield pd.DataFrame(rows, dtype=object).reindex(columns=_COLUMNS).astype(object).where(lambda x: x.notna(), None)
+                    yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    return files.mapInPandas(run, PACKETS)
+    return files.mapInArrow(run, PACKETS)
