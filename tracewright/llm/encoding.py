@@ -162,13 +162,15 @@ class RankMap:
         self.byte_id = np.array([by_byte[b] for b in range(256)], np.int64)
         self.token_size = np.array([len(t) for t in tokens], np.int64)
 
-    def word_token(self, word: Column) -> Column:
-        """The id of a word that is a token as a whole, else null."""
-        h = F.xxhash64(word)
-        shift = F.get(_numbers(self.word_shift, "int"), F.pmod(h, F.lit(_BUCKETS)).cast("int"))
-        slot = F.pmod(F.shiftrightunsigned(h, 24) + shift, F.lit(_SLOTS)).cast("int")
-        text = F.get(F.split(F.lit(self.word_text), "\x01"), slot)
-        return F.when(text == word, F.get(_numbers(self.word_id, "int"), slot))
+    def word_tokens(self, words: Column) -> Column:
+        """Of an array of words the ids of those that are a token as a whole, else null.
+
+        Hashes and slots are arrays of their own, as an expression used twice is computed twice.
+        """
+        shift = lambda h: F.get(_numbers(self.word_shift, "int"), F.pmod(h, F.lit(_BUCKETS)).cast("int"))
+        slots = F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.pmod(F.shiftrightunsigned(h, 24) + shift(h), F.lit(_SLOTS)).cast("int"))
+        texts, ids = F.split(F.lit(self.word_text), "\x01"), _numbers(self.word_id, "int")
+        return F.transform(slots, lambda slot, i: F.when(F.get(texts, slot) == F.get(words, i), F.get(ids, slot)))
 
     def tables(self, body) -> Column:
         """``body`` of the tables that a fold needs, each of which stands in the plan once."""
@@ -290,7 +292,7 @@ def coded_words(documents: DataFrame, ranks: RankMap, key: str, text: str) -> Da
 
     # Bound one by one, as the optimizer would write an array's expression into the functions over it.
     nulls = lambda ids: F.filter(F.transform(ids, lambda v, i: F.when(v.isNull(), i)), lambda i: i.isNotNull())
-    made = _bind(words_of(F.col(text)), lambda words: _bind(F.transform(words, ranks.word_token), lambda ids: _bind(nulls(ids), lambda at: cut(words, ids, at))))
+    made = _bind(words_of(F.col(text)), lambda words: _bind(ranks.word_tokens(words), lambda ids: _bind(nulls(ids), lambda at: cut(words, ids, at))))
     return rows.select(key, F.xxhash64(text).alias("own"), made.alias("made")).select(key, "own", "made.runs", "made.lost")
 
 
