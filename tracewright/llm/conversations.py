@@ -144,7 +144,7 @@ class Conversations(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lines = handle.getListState("lines", "line string")
+        self.lines = handle.getListState("lines", "line string, until bigint")
         self.closed = handle.getValueState("closed", "line_no bigint, emitted boolean")
 
     def emitted(self, session: str, lines: Iterable[tuple]) -> Iterator[Row]:
@@ -156,13 +156,14 @@ class Conversations(StatefulProcessor):
         for r in rows:
             if r.line is None:  # the end-of-input row
                 return
-            fresh[(r.line,)] = None
+            fresh[r.line] = None
             last = max(last, r.seen_ms or 0)
             if r.kind in self.closing:
                 closed_at = max(closed_at, r.line_no)
+        until = max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
         closed, was_emitted = (self.closed.get() or (0, False)) if self.closing else (0, False)
         if not was_emitted:
-            self.lines.appendList(list(fresh))
+            self.lines.appendList([(line, until) for line in fresh])
         if closed_at > closed:
             closed = closed_at
             self.closed.update((closed, was_emitted))
@@ -172,15 +173,17 @@ class Conversations(StatefulProcessor):
                 yield from self.emitted(key[0], lines)
                 self.lines.clear()
                 self.closed.update((closed, True))
-        self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        self.handle.registerTimer(until)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        if any(t > now for t in self.handle.listTimers()):  # a later line came
+        lines = list(self.lines.get())
+        if any(until > now for _, until in lines):  # a later line came
             return
-        yield from self.emitted(key[0], [line_values(x[0]) for x in self.lines.get()])
+        yield from self.emitted(key[0], [line_values(line) for line, _ in lines])
         self.lines.clear()
-        self.closed.clear()
+        if self.closing:
+            self.closed.clear()
 
     def close(self) -> None:
         pass
