@@ -3,8 +3,7 @@
 Both operators start from per-record term counts. Rows are partitioned once, by (file, term): the rule
 that the row loaded last counts per (file, chunk, token), the sum per (file, term) and every later
 grouping that keeps both keys work inside that partitioning, so the fact table is shuffled once however
-many chunks a file has, and neither a hot file nor a hot term meets in one task. Load time and count of a
-row are one number, so that its maximum is kept in a hash table without a sort. Per term and per file sums
+many chunks a file has, and neither a hot file nor a hot term meets in one task. Per term and per file sums
 are combined partially by hash before their shuffle.
 
 Defined cases: a null or blank token, a null file name, or a count that is null or below one holds no
@@ -36,26 +35,16 @@ def term_counts(counts: DataFrame) -> DataFrame:
         skipped = skipped | F.startswith(term, F.lit(prefix))
     return (
         counts.filter(F.col("file_name").isNotNull() & (F.trim("token") != "") & ~skipped)
-        .select("file_name", "chunk_no", "token", _loaded(F.col("loaded_at"), F.col("count")).alias("loaded"))
+        .select("file_name", "chunk_no", "token", F.struct("loaded_at", "count").alias("loaded"))
         .repartition("file_name", term)
         .groupBy("file_name", term.alias("term"), "chunk_no", "token")
-        .agg(F.max("loaded").alias("loaded"))
-        .withColumn("count", F.pmod("loaded", F.lit(_COUNTS).cast("decimal(38,0)")).cast("bigint") - 2**31)
+        .agg(F.max("loaded")["count"].cast("bigint").alias("count"))
         .filter(F.col("count") >= 1)
         .groupBy("file_name", "term")
         .agg(F.sum("count").alias("tf"))
     )
 
 
-_COUNTS = 2**33
-
-
-def _loaded(at: Column, count: Column) -> Column:
-    """Load time and count of a row (an int or null) as one number in their order, null first."""
-    micros = F.timestamp_diff("MICROSECOND", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
-    return F.coalesce(micros + 1, F.lit(0)).cast("decimal(20,0)") * F.lit(_COUNTS).cast("decimal(10,0)") + F.coalesce(count.cast("bigint") + 2**31, F.lit(0)).cast("decimal(10,0)")
-
-
 def file_total(counts: DataFrame) -> Column:
     """The number of distinct non-null file names of the table, as a scalar subquery."""
     return counts.select("file_name").filter(F.col("file_name").isNotNull()).distinct().agg(F.count(F.lit(1))).scalar()
