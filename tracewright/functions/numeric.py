@@ -13,24 +13,6 @@ NET_LOG = (0, 1, 2, 3, 5, 6, 7, 11, 12, 13, 14)
 HOST_WEIGHT, NET_WEIGHT = 1.0, 2.0
 
 
-#: A count's share of ``loaded_number``.
-LOADED = 2**33
-
-
-def loaded_number(at: Column, count: Column) -> Column:
-    """Load time and count of a row (an int or null) as one number in their order, null first.
-
-    Its maximum is the count loaded last, on a tie the greatest; a hash table keeps it without a sort.
-    """
-    micros = F.timestamp_diff("MICROSECOND", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
-    return F.coalesce(micros + 1, F.lit(0)).cast("decimal(20,0)") * F.lit(LOADED).cast("decimal(10,0)") + F.coalesce(count.cast("bigint") + 2**31, F.lit(0)).cast("decimal(10,0)")
-
-
-def loaded_count(number: Column) -> Column:
-    """The count in a ``loaded_number``; below any int where it was null."""
-    return F.pmod(number, F.lit(LOADED).cast("decimal(38,0)")).cast("bigint") - 2**31
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0 or null."""
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
