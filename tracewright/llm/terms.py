@@ -16,11 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import skipped
 from tracewright.runtime import written
 
-#: Terms that start with one of these are left out of everything.
-SKIPPED = ("a0=", "a1=", "a2=", "a3=", "pid=")
-
 
 def term_of(token: Column) -> Column:
     """A token without outer blanks, then without apostrophes at its end, in lower case."""
@@ -30,11 +28,8 @@ def term_of(token: Column) -> Column:
 def term_counts(counts: DataFrame) -> DataFrame:
     """(file_name, term, tf): occurrences of each term in each file, from the chunked counts."""
     term = term_of(F.col("token"))
-    skipped = F.lit(False)
-    for prefix in SKIPPED:
-        skipped = skipped | F.startswith(term, F.lit(prefix))
     return (
-        counts.filter(F.col("file_name").isNotNull() & (F.trim("token") != "") & ~skipped)
+        counts.filter(F.col("file_name").isNotNull() & (F.trim("token") != "") & ~skipped(term))
         .select("file_name", "chunk_no", "token", F.struct("loaded_at", "count").alias("loaded"))
         .repartition("file_name", term)
         .groupBy("file_name", term.alias("term"), "chunk_no", "token")
