@@ -14,7 +14,7 @@ from tracewright.functions import net
 from tracewright.functions import text as tx
 from tracewright.ml import encoder, judge, svm
 from tracewright.operators import cv, flow, metrics, sessions, tokens, trajectory
-from tracewright.plans import cli, detect, reference_queries
+from tracewright.plans import cli, detect, pipeline_queries, reference_queries
 from tracewright.sources import files, packets
 
 
@@ -30,11 +30,15 @@ def shown(v):
     return "nan" if isinstance(v, float) and np.isnan(v) else repr(v)
 
 
-@pytest.mark.parametrize("name", list(reference_queries.ORACLE))
+QUERIES = reference_queries.QUERIES | pipeline_queries.QUERIES
+ORACLE = reference_queries.ORACLE | pipeline_queries.ORACLE
+
+
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_sql(spark, sf, con, name):
-    rel = con.execute(reference_queries.ORACLE[name])
+    rel = con.execute(ORACLE[name])
     cols = [c[0] for c in rel.description]
-    df = reference_queries.QUERIES[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     assert sorted(df.columns) == sorted(cols)
     got = sorted([*map(shown, r)] for r in df.select(*cols).collect())
     assert got == sorted([*map(shown, r)] for r in rel.fetchall())
@@ -330,3 +334,19 @@ def test_train_and_validate(spark, tmp_path):
     assert samples.filter("has_audit and has_pcap and audit_text <> '' and net_text <> ''").count() == 12
     reports = detect.cross_validate(samples, Settings(folds=2))
     assert reports["per_fold"].count() == 2 and reports["summary"].count() == 4
+
+
+def test_numbered_lines_of_split_files(spark, tmp_path):
+    """Line numbers are those of the file, also where it is read in many splits."""
+    text = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.log").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = files.numbered_lines(spark, str(tmp_path), "*.log").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in ("a", "b"):
+        assert [r["value"] for r in sorted((r for r in rows if r["path"].endswith(f"{name}.log")), key=lambda r: r["line_no"])] == text
+    assert sorted(r["line_no"] for r in rows) == sorted([*range(3000)] * 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
@@ -50,17 +50,31 @@ def audit_corpus(spark: SparkSession, folder: str, csv: str | None = None, cap:
     return tokens.capped_documents(tokens.counts_per_file(audit_lines(spark, folder)), cap)
 
 
+def numbered_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, line_no, value) of every line of the files below ``path`` whose names match, numbered from 0.
+
+    Files are split and read in parallel however long they are. Lines of a split are numbered as they are read; only
+    the splits' numbers of lines are summed up in order, so no file is sorted.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    per = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return lines.join(offsets, ["path", "block"]).select("path", (F.col("id") - F.col("first") + F.col("offset")).alias("line_no"), "value")
+
+
 def session_lines(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, line_no, type, message) of JSONL below ``path``; blank and bad lines are skipped.
 
     The session is the file's name without ending, or its folder's if the file is ``session.jsonl``.
     Arguments that are objects are kept as their JSON text.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
-    where = F.col("_metadata.file_path")
+    where = F.col("path")
     stem = F.regexp_replace(base_name(where), r"\.jsonl$", "")
     folder = F.regexp_extract(where, r"([^/]+)/[^/]+$", 1)
-    lines = raw.select(F.when(stem == "session", folder).otherwise(stem).alias("session_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    raw = numbered_lines(spark, path, "*.jsonl")
+    lines = raw.select(F.when(stem == "session", folder).otherwise(stem).alias("session_id"), "line_no", F.col("value").alias("line"))
     v = F.try_parse_json("line")
     good = lines.filter(F.trim("line") != "").withColumn("v", v).filter(F.col("v").isNotNull() & F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
     item = "array<struct<type:string,text:string,id:string,name:string,arguments:string>>"
