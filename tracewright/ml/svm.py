@@ -39,7 +39,8 @@ def fit(rows: DataFrame, features: str, label: str, c: float = 1.0, rounds: int
     """(weights, intercept) of min |w|^2 / 2 + C sum c_i max(0, 1 - y f(x))^2, the intercept regularised.
 
     Newton steps with backtracking: each step sums loss, gradient and the Hessian of the active rows in one
-    pass over Arrow batches; only those sums, whose size is the number of features, reach the driver.
+    pass over Arrow batches, added up on the workers in a tree. Sums have the square of the number of features; for
+    many features there is ``fit_sparse``.
     """
     cost = balanced_weights(rows, label)
     data = rows.select(features, label).filter(F.col(features).isNotNull() & F.col(label).isin(0, 1))
@@ -60,10 +61,9 @@ def fit(rows: DataFrame, features: str, label: str, c: float = 1.0, rounds: int
                 if hessian:
                     on = gap > 0
                     total[1 + width :] += (x[on].T @ (x[on] * (2 * k[on])[:, None])).ravel()
-            yield pd.DataFrame({"s": [total.tolist()]})
+            yield pd.DataFrame({"s": [total.tobytes()]})
 
-        parts = data.mapInPandas(run, "s array<double>")
-        return np.sum([r[0] for r in parts.toLocalIterator()], axis=0)
+        return data.mapInPandas(run, "s binary").rdd.map(lambda r: np.frombuffer(bytes(r[0]))).treeReduce(np.add)
 
     w = np.zeros(width)
     for _ in range(rounds):
