@@ -163,6 +163,33 @@ def test_no_entries_without_dictionaries(spark, sf, monkeypatch):
     assert logparse.log_entries(raw, files).count() == 0
 
 
+def test_roles_come_from_templates(spark, sf, monkeypatch):
+    """What a line's template does not say is not known: were all lines of one template, none would start an entry."""
+    raw, files = (read_table(spark, sf, n) for n in ("audit_raw", "audit_files"))
+    monkeypatch.setattr(logparse, "template_of", lambda *a: ("<*>",))
+    assert logparse.log_entries(raw, files).count() == 0
+
+
+def test_words_dictionary_finds_heads(spark, sf, monkeypatch):
+    """The dictionary of words as they stand finds most entries alone; that of types is for what it leaves open."""
+    raw, files = (read_table(spark, sf, n) for n in ("audit_raw", "audit_files"))
+    both, whole = logparse.dictionaries, logparse.log_entries(raw, files).count()
+    monkeypatch.setattr(logparse, "dictionaries", lambda lines: (both(lines)[0], set()))
+    assert logparse.log_entries(raw, files).count() > whole / 2
+
+
+def test_template_holds_what_roles_need():
+    """Type and constancy of each token are read from its mark alone."""
+    shapes, types = ["<T>", "box-0", "<S>", "key=", '"m":', ":", "<L>", "foo", "<T>"], ["T", "W", "W", "K", "M", ":", "L", "W", "T"]
+    template = logparse.template_of(shapes, types, [True, True, True, False, False, True, False, False, False], [True] * 7 + [False] * 2)
+    assert template == ("<T>", "box-0", '"<W>"', "<*>=", '"<*>":', ":", "<L>", "?W", "?T")
+    assert [logparse.mark_type(m)[0] for m in template] == types
+    assert [logparse.mark_type(m)[1] for m in template] == [True] * 7 + [False] * 2
+    assert logparse.template_roles(("<T>", "box-0", "sshlet", "[", "<N>", "]", ":", "<*>")) == ("line", 0, -1, 2)
+    assert logparse.template_roles(("<*>", "|", "<T>", "|", "<L>", "|", "<*>", "|")) is None
+    assert logparse.template_roles(("worker-0", "|", "<T>", "|", "<L>", "|", "<*>", "|")) == ("line", 2, 4, 6)
+
+
 def test_fields_far_behind(spark):
     """Whole lines count: a head may be long, and an object's time behind many members."""
     far = "[" + " ".join(f"k{i}=v{i}" for i in range(40)) + "] x"

@@ -7,12 +7,13 @@
    as they stand, and one in which all words are alike. Those in at least the share ``SUPPORT`` (``TYPE_SUPPORT``)
    of all lines are kept; with ``n`` tokens a line on average, a dictionary has at most 2 * n / support entries
    at any input size, so it is collected and sent to the workers.
-3. A word that a kept n-gram covers is constant, so is any other token that one of the second dictionary
-   covers; all others are variable. A line's template is its typed slots (times, levels, numbers, strings) and
-   constant tokens, with the variable words masked.
-4. Templates receive field roles by type. A template is that of a head if its first time and all before it
-   are constant, values of keys excepted. No layout is written down: without the dictionaries there is no
-   entry.
+3. Trigrams are looked up first, bigrams where they leave a token open. A token that a kept n-gram covers is
+   constant; any but a word also where only one of the second dictionary covers it, as in programs that write
+   little; all others are variable. A line's template is its typed slots (times, levels, numbers, strings) and
+   constant tokens, with the variable words masked and the tokens that neither dictionary covers marked.
+4. Templates receive field roles by type, from the template and nothing else. A template is that of a head if its
+   first time and all before it are constant, values of keys excepted. No layout is written down: without the
+   dictionaries there is no entry.
 5. A line whose template has such a head starts an entry. Files are cut into blocks of
    ``BLOCK`` lines; each block hands the line of its last start on to the later blocks of its file, so no
    file, however long, is sorted in one task.
@@ -169,21 +170,49 @@ def dictionaries(lines: DataFrame) -> tuple[set[str], set[str]]:
 
 
 def covered(tokens: list[str], frequent: set[str]) -> list[bool]:
-    """Whether a frequent n-gram covers each token."""
+    """Whether a frequent trigram, or a frequent bigram where no such trigram does, covers each token."""
     out = [False] * len(tokens)
-    for k in (2, 3):
+    for k in (3, 2):
         for i in range(len(tokens) - k + 1):
-            if GAP.join(tokens[i : i + k]) in frequent:
+            if not all(out[i : i + k]) and GAP.join(tokens[i : i + k]) in frequent:
                 out[i : i + k] = [True] * k
     return out
 
 
-def template_of(shapes: list[str], types: list[str], constant: list[bool]) -> list[str]:
-    """Tokens as they stand where they are constant, else masked; words, levels, times and values as slots."""
-    return [s if t not in ("W", "K", "M") or c else "<*>" for s, t, c in zip(shapes, types, constant)]
+#: Mark of a variable token of known type in a template.
+_MASK = {"W": "<*>", "K": "<*>=", "M": '"<*>":'}
 
 
-def template_roles(types: list[str], constant: list[bool]) -> tuple[str, int, int, int] | None:
+def template_of(shapes: list[str], types: list[str], by_word: list[bool], by_type: list[bool]) -> tuple[str, ...]:
+    """The template of a line: a mark for each token.
+
+    A token that the words' dictionary covers stands as its shape. One that only the types' covers does too, but
+    the text of words, keys and members is masked. One that neither covers is its type behind a question mark.
+    A quoted word is a slot, ``"<W>"`` where its place is constant by the words' dictionary.
+    """
+    out = []
+    for shape, kind, word, known in zip(shapes, types, by_word, by_type):
+        if not (word or known):
+            out.append("?" + kind)
+        elif shape == "<S>" and kind == "W":
+            out.append('"<W>"' if word else '"<*>"')
+        else:
+            out.append(shape if word else _MASK.get(kind, shape))
+    return tuple(out)
+
+
+def mark_type(mark: str) -> tuple[str, bool, bool]:
+    """(type, whether it is constant, whether a dictionary covers it) of a mark of a template."""
+    if len(mark) > 1 and mark[0] == "?":
+        return mark[1:], False, False
+    if mark in ("<*>", '"<*>"', '"<W>"'):
+        return "W", mark == '"<W>"', True
+    if mark in ("<T>", "<L>", "<N>", "<S>"):
+        return mark[1], True, True
+    return token_type(mark)[1], True, True
+
+
+def template_roles(template: tuple[str, ...]) -> tuple[str, int, int, int] | None:
     """(kind, time, level, component) of a template as token positions, -1 where absent; None if it has no head.
 
     kind is ``object`` for a template that opens or holds a JSON object, ``member`` for one that is a
@@ -195,9 +224,10 @@ def template_roles(types: list[str], constant: list[bool]) -> tuple[str, int, in
     component is the first word behind the time that no word follows, up to a colon, and the level is one
     behind the time itself or set off on both sides.
     """
+    types, constant, known = zip(*map(mark_type, template))
     n = len(types)
-    if n and (types[0] == "{" or types[0] == "M"):
-        return _object_roles(types, constant)
+    if types[0] == "{" or types[0] == "M":
+        return _object_roles(types, known)  # an object's words are values; they need not be constant
     if "T" not in types:
         return None
     time = types.index("T")
@@ -227,14 +257,14 @@ def template_roles(types: list[str], constant: list[bool]) -> tuple[str, int, in
     return "line", time, level, component
 
 
-def _object_roles(types: list[str], constant: list[bool]) -> tuple[str, int, int, int] | None:
-    if types[0] == "M" and not constant[0]:
+def _object_roles(types: tuple[str, ...], known: tuple[bool, ...]) -> tuple[str, int, int, int] | None:
+    if types[0] == "M" and not known[0]:
         return None
     found = {"T": -1, "L": -1, "W": -1}
     depth = top = int(types[0] == "{")
     for i in range(1, len(types)):
         depth += (types[i] in ("{", "[")) - (types[i] in ("}", "]"))
-        if types[i - 1] == "M" and depth == top and found.get(types[i], 0) < 0 and constant[i]:
+        if types[i - 1] == "M" and depth == top and found.get(types[i], 0) < 0 and known[i]:
             found[types[i]] = i
     if types[0] == "M":
         return "member", found["T"], found["L"], found["W"]
@@ -244,28 +274,31 @@ def _object_roles(types: list[str], constant: list[bool]) -> tuple[str, int, int
 
 
 def line_roles(words: set[str], kinds: set[str]):
-    """A pandas UDF: shape and types of a line -> its template and the positions of its fields; like lines are looked up once."""
+    """A pandas UDF: shape and types of a line -> its template and the positions of its fields.
+
+    The template of like lines is made once, and a template receives its roles once.
+    """
 
-    def roles_of(shape: str, types: str) -> tuple:
+    def make(shape: str, types: str) -> tuple[str, ...]:
         s, t = shape.split(GAP), types.split(GAP)
-        by_word, by_type = covered(s, words), covered(t, kinds)
-        # An object's words are values; they need not be constant.
-        constant = [w if kind == "W" and t[0] not in ("{", "M") else k for kind, w, k in zip(t, by_word, by_type)]
-        got = template_roles(t, constant) or (None, None, None, None)
-        shown = template_of(s, t, [w if kind in ("W", "K", "M") else k for kind, w, k in zip(t, by_word, by_type)])
-        return (" ".join(shown), *got)
+        return template_of(s, t, covered(s, words), covered(t, kinds))
 
     @F.pandas_udf(ROLES)
     def roles(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, tuple] = {}
+        given: dict[tuple, tuple] = {}
         for shapes, types in batches:
             if len(known) > REMEMBERED:
                 known.clear()
+                given.clear()
             known["", ""] = (None,) * 5
             rows = []
             for key in zip(shapes, types):
                 if key not in known:
-                    known[key] = roles_of(*key)
+                    template = make(*key)
+                    if template not in given:
+                        given[template] = (" ".join(template), *(template_roles(template) or (None,) * 4))
+                    known[key] = given[template]
                 rows.append(known[key])
             out = pd.DataFrame(rows, columns=[f.name for f in ROLES], dtype=object)
             yield out.astype({c: "Int32" for c in ("time", "level", "component")})
