@@ -198,6 +198,29 @@ def test_captures(spark, tmp_path):
         assert n[11] == 0.9 - 0.15 or abs(n[11] - 0.8) < 0.2 and n[12:] == [1.0, 1.0, 2.0]
 
 
+def passes(df):
+    """How often a plan goes through Python, and its shuffles."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("MapInArrow") + plan.count("MapInPandas"), plan.count("Exchange")
+
+
+def test_features_read_captures_once(spark, sf, tmp_path):
+    assert passes(pipeline_queries.packet_features(spark, sf)) == (1, 1)  # the exchange makes the captures
+    long = [(float(i), tcp(HOME, AWAY, 6000, 80, b"x" * 1000 + b"\r\nHost: h%d.example.com\r\n" % i)) for i in range(70)]
+    hidden = [(9.0, tcp(HOME, AWAY, 6001, 443, b"\x17" + hello("no.example.org"))), (8.0, tcp(HOME, AWAY, 6001, 443, hello("late.example.org"))), (8.5, tcp(HOME, (10, 0, 0, 9), 6002, 8080, b"Host: in.example.com\r\n"))]
+    for name, frames in (("a", FRAMES), ("b", long + hidden), ("c", FRAMES[::-1]), ("d", FRAMES[6:]), ("e", [])):
+        (tmp_path / f"{name}.pcap").write_bytes(pcap(frames))
+    (tmp_path / "bad.pcap").write_bytes(b"nothing")
+    by_file = {r["file"][-6:]: r[1:] for r in detect.capture_features(flow.file_captures(packets.captures(spark, str(tmp_path)))).collect()}
+    mixed = packets.packets(spark, str(tmp_path)).repartition(3).orderBy(F.rand(1))
+    assert by_file == {r["file"][-6:]: r[1:] for r in detect.packet_features(mixed).collect()} and set(by_file) == {"a.pcap", "b.pcap", "c.pcap", "d.pcap"}
+    numbers, text = by_file["b.pcap"]
+    assert numbers[0] == 73 and numbers[9] == round((69.0 + 0.5) / 72, 4) and numbers[11] == 1.0 and numbers[12:14] == [0.0, 0.0]
+    # A flow is read up to 64 KiB.
+    read = (b"".join(b"x" * 1000 + b"\r\nHost: h%d.example.com\r\n" % i for i in range(70)))[:65_536].count(b"Host:")
+    assert numbers[14] == read + 1 and "host:in.example.com" in text and text.endswith("ip:93.184.216.34")
+
+
 def test_net_functions(spark):
     for a, private in (((10, 1, 1, 1), True), ((172, 31, 0, 1), True), ((172, 32, 0, 1), False), ((192, 168, 9, 9), True), ((127, 0, 0, 1), True), ((8, 8, 8, 8), False), ((1, 2), False)):
         assert one(spark, bytearray(a), net.private_ipv4, "binary") is private

@@ -29,6 +29,11 @@ def private_ipv4(address: Column) -> Column:
     return F.coalesce((F.octet_length(address) == 4) & inside, F.lit(False))
 
 
+def private_address(address: bytes) -> bool:
+    """``private_ipv4`` of bytes."""
+    return len(address) == 4 and (address[0] in (10, 127) or address[:2] == b"\xc0\xa8" or address[0] == 172 and 16 <= address[1] <= 31)
+
+
 def ipv4_text(address: Column) -> Column:
     return F.when(F.octet_length(address) == 4, F.concat_ws(".", *[_octet(address, i).cast("string") for i in range(1, 5)]))
 

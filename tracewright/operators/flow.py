@@ -1,15 +1,18 @@
-"""Packet aggregates, arrival gaps, network names, and payloads joined per flow."""
+"""Packet aggregates, arrival gaps, network names, and captures read packet by packet."""
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import net
+from tracewright.sources import packets as source
 
 FLOW_BYTES = 65_536
 WEB_PORTS = (80, 8080, 8000)
@@ -75,55 +78,137 @@ def net_meta_text(tokens: DataFrame, key: str) -> DataFrame:
 
 
 _DOMAIN = re.compile(net.DOMAIN)
-_HOSTS = "file string, kind string, value string"
+CAPTURES = "file string, packet_count bigint, ip_bytes bigint, ip_up bigint, len_min int, len_max int, len_mean double, len_std double, gap_mean double, gap_std double, gap_max double, dns array<string>, sni array<string>, host array<string>, ip array<string>"
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in CAPTURES.split(", "))])
 
 
 class _Flow:
-    """The payload of one flow so far, and where its last line starts."""
+    """The payload of one flow that is still to be read, and how much has come."""
 
-    def __init__(self, key: tuple):
-        self.key, self.data, self.line, self.named = key, bytearray(), 0, False
+    def __init__(self):
+        self.data, self.size = bytearray(), 0
 
     def take(self, port: int, part: bytes) -> Iterator[tuple[str, str]]:
-        """(kind, value) that show once a packet has come; only what it brought is read."""
-        self.data += part[: FLOW_BYTES - len(self.data)]
+        """(kind, value) that show once a packet has come; only what it brought is read, what is read is dropped."""
+        part = part[: FLOW_BYTES - self.size]
+        self.data += part
+        self.size += len(part)
         if port == 443:
-            if not self.named and self.data[0] == 0x16 and (name := net.tls_server_name(bytes(self.data))):
-                self.named = True
+            name = net.tls_server_name(bytes(self.data)) if self.data[0] == 0x16 else None
+            if name:
                 yield "sni", name
-        elif port in WEB_PORTS:
-            lines = bytes(self.data[self.line :]).split(b"\r\n")
-            self.line = len(self.data) - len(lines[-1])
+            if name or self.data[0] != 0x16:
+                self.size = FLOW_BYTES
+        else:
+            lines = bytes(self.data).split(b"\r\n")
+            self.data = bytearray(lines[-1])
             for line in lines:
                 if line[:5].lower() == b"host:" and len(line) < 2048:
                     host = line[5:].decode("utf-8", "replace").strip().lower().rstrip(".")
                     if 1 <= len(host) <= 253 and _DOMAIN.match(host):
                         yield "host", host
+        if self.size >= FLOW_BYTES:
+            self.data = bytearray()
 
 
-def _names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Names of the flows of a partition, whose packets come flow by flow in order."""
-    flow = None
-    for pdf in batches:
-        out = set()
-        for file, key, port, part in zip(pdf["file"], pdf["flow"], pdf["dport"], pdf["payload"]):
-            if flow is None or flow.key != (file, key):
-                flow = _Flow((file, key))
-            if len(flow.data) < FLOW_BYTES:
-                out.update((file, kind, value) for kind, value in flow.take(port, bytes(part)))
-        yield pd.DataFrame(sorted(out), columns=["file", "kind", "value"])
+def _capture(file: str, packets: Iterable[dict]) -> tuple | None:
+    """The row of one capture from its packets in file order; None for no packet.
 
+    Means and population deviations are summed as Spark's aggregates sum them and are 0 over nothing.
+    """
+    count, low, high, length_sum, length_at, length_m2 = 0, math.inf, 0, 0, 0.0, 0.0
+    last, gap_sum, gap_at, gap_m2, longest, total, sent = None, 0.0, 0.0, 0.0, 0.0, 0, 0
+    names: dict[str, set] = {"dns": set(), "sni": set(), "host": set()}
+    far: set[bytes] = set()
+    flows: dict[tuple, _Flow] = {}
+    for p in packets:
+        ts, n, src = p["ts"], p["length"], p.get("src")
+        if last is not None:
+            gap = ts - last if ts > last else 0.0
+            gap_sum += gap
+            step = (delta := gap - gap_at) / count
+            gap_at += step
+            gap_m2 += delta * (delta - step)
+            if gap > longest:
+                longest = gap
+        last = ts
+        count += 1
+        length_sum += n
+        step = (delta := n - length_at) / count
+        length_at += step
+        length_m2 += delta * (delta - step)
+        if n < low:
+            low = n
+        if n > high:
+            high = n
+        if src is None:
+            continue
+        up, dst = net.private_address(src), p["dst"]
+        if len(src) == 4:
+            total += p["ip_len"]
+            if up:
+                sent += p["ip_len"]
+        there = dst if up else src
+        if there not in far and len(there) == 4 and not net.private_address(there):
+            far.add(there)
+        if p.get("dns"):
+            names["dns"].update(p["dns"])
+        if p.get("proto") == "tcp" and p["payload"] and ((port := p["dport"]) == 443 or port in WEB_PORTS):
+            key = (src, p["sport"], dst, port)
+            flow = flows.get(key) or flows.setdefault(key, _Flow())
+            if flow.size < FLOW_BYTES:
+                for kind, value in flow.take(port, p["payload"]):
+                    names[kind].add(value)
+    if not count:
+        return None
+    gaps = count - 1
+    means = (length_sum / count, math.sqrt(length_m2 / count), gap_sum / gaps if gaps else 0.0, math.sqrt(gap_m2 / gaps) if gaps else 0.0)
+    return (file, count, total, sent, low, high, *means, longest, *map(sorted, (*names.values(), {".".join(map(str, a)) for a in far})))
+
+
+def capture_batches(captures: Iterable[tuple[str, Iterable[dict]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of captures, many to a batch."""
+    rows: list[tuple] = []
+    held = 0
+    for file, packets in captures:
+        if row := _capture(file, packets):
+            rows.append(row)
+            held += 1 + sum(map(len, row[-4:]))
+        if held >= 50_000:
+            yield _batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+
+
+def packet_captures(packets: DataFrame) -> DataFrame:
+    """One row a capture (``CAPTURES``) of a table of packets, which may lie in any order: counters, lengths, gaps and names.
+
+    Payloads of a TCP flow are joined in packet order up to 64 KiB; hosts are read after every packet, as a
+    header cut at a packet's edge shows there; a server name is read once the payload holds it. Flows are not
+    evicted, but hold only what is not read yet. A capture is read as a stream of its partition, never held
+    as a group.
+    """
 
-def flow_names(packets: DataFrame) -> DataFrame:
-    """(file, kind, value): server names and HTTP hosts of TCP flows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packets = (row for batch in batches for part in range(0, batch.num_rows, 1000) for row in batch.slice(part, 1000).to_pylist())
+        yield from capture_batches(groupby(packets, lambda p: p["file"]))
 
-    packets: ``file, flow, pkt_idx, dport, payload``. Payloads of a flow are joined in packet order up to
-    64 KiB; hosts are read after every packet, as a header cut at a packet's edge shows there; a server name
-    is read once the payload holds it. Flows are not evicted. A flow is read as a stream of its partition,
-    never held as a group.
-    """
-    w = Window.partitionBy("file", "flow").orderBy("pkt_idx").rowsBetween(Window.unboundedPreceding, -1)
-    kept = packets.filter((F.octet_length("payload") > 0) & F.col("dport").isin(443, *WEB_PORTS)).select("file", "flow", "pkt_idx", "dport", "payload")
-    first = kept.withColumn("__before", F.coalesce(F.sum(F.octet_length("payload")).over(w), F.lit(0))).filter(F.col("__before") < FLOW_BYTES)
-    # The window has brought each flow into one partition.
-    return first.sortWithinPartitions("file", "flow", "pkt_idx").select("file", "flow", "dport", "payload").mapInPandas(_names, _HOSTS).distinct()
+    kept = packets.select("file", "pkt_idx", "ts", "length", "ip_len", "src", "dst", "proto", "sport", "dport", "payload", "dns")
+    return kept.repartition("file").sortWithinPartitions("file", "pkt_idx").mapInArrow(run, CAPTURES)
+
+
+def file_captures(files: DataFrame) -> DataFrame:
+    """The same of captures given as (path, content): one narrow pass, each read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from capture_batches(
+            (path.as_py(), source.capture_packets(content.as_py() or b"")) for batch in batches for path, content in zip(batch.column("path"), batch.column("content"))
+        )
+
+    return files.mapInArrow(run, CAPTURES)

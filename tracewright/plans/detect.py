@@ -28,32 +28,38 @@ def host_features(lines: DataFrame) -> DataFrame:
 
 
 def packet_names(packets: DataFrame) -> DataFrame:
-    """(file, kind, value): distinct DNS names, server names, HTTP hosts and far public addresses of captures."""
-    good = packets.filter(F.col("error").isNull())
-    dns = good.filter(F.col("dns").isNotNull()).select("file", F.lit("dns").alias("kind"), F.explode("dns").alias("value")).filter(net.valid_domain(F.col("value")))
-    ips = good.select("file", F.lit("ip").alias("kind"), net.remote_public(F.col("src"), F.col("dst")).alias("value")).filter(F.col("value").isNotNull())
-    tcp = good.filter((F.col("proto") == "tcp") & (F.octet_length("payload") > 0)).withColumn("flow", F.concat_ws("-", F.hex("src"), "sport", F.hex("dst"), "dport"))
-    return dns.unionByName(ips).unionByName(flow.flow_names(tcp)).distinct()
+    """(file, kind, value): distinct DNS names, server names, HTTP hosts and far public addresses of the captures of packets."""
+    return capture_names(flow.packet_captures(packets.filter(F.col("error").isNull())))
 
 
 def packet_features(packets: DataFrame) -> DataFrame:
-    """(file, net_numeric, net_text) of captures: counters, lengths, gaps and names."""
-    good = packets.filter(F.col("error").isNull())
-    private = net.private_ipv4(F.col("src"))
-    v4 = F.octet_length("src") == 4
-    up = private & v4
-    ordered = good.withColumn("ip_bytes", F.when(v4, F.col("ip_len")).cast("double"))
-    stats = flow.flow_stats(ordered, "file", "pkt_idx", F.col("ts"), F.col("length").cast("double"), up)
-    volume = ordered.groupBy("file").agg(
-        F.coalesce(F.sum("ip_bytes"), F.lit(0.0)).alias("total"),
-        F.coalesce(F.sum(F.when(up, F.col("ip_bytes"))), F.lit(0.0)).alias("up"),
-    )
-    names = packet_names(packets)
-    counts, text = flow.domain_counts(names, "file"), flow.net_meta_text(names, "file")
-    d = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    numbers = [d("packet_count"), d("total"), d("up"), d("total") - d("up"), nu.ratio(d("up"), d("total")), d("pkt_len_min"), d("pkt_len_max"), d("pkt_len_mean"), d("pkt_len_std"), d("iat_mean"), d("iat_std"), d("iat_max"), d("dns_domain_count"), d("sni_count"), d("http_host_count")]
-    joined = stats.join(volume, "file", "left").join(counts, "file", "left").join(text, "file", "left")
-    return joined.select("file", F.array(*numbers).alias("net_numeric"), F.coalesce("net_text", F.lit("")).alias("net_text"))
+    """(file, net_numeric, net_text) of the captures of packets: counters, lengths, gaps and names."""
+    return capture_features(flow.packet_captures(packets.filter(F.col("error").isNull())))
+
+
+#: Kinds of names in the order of the network text.
+KINDS = ("dns", "sni", "host", "ip")
+
+
+def _named(kind: str) -> Column:
+    """(kind, value) of the names of a kind; DNS names must be valid domains."""
+    names = F.filter("dns", net.valid_domain) if kind == "dns" else F.col(kind)
+    return F.transform(names, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
+def capture_names(captures: DataFrame) -> DataFrame:
+    """``packet_names`` of captures by row, as ``flow.file_captures`` has them."""
+    return captures.select("file", F.inline(F.concat(*map(_named, KINDS))))
+
+
+def capture_features(captures: DataFrame) -> DataFrame:
+    """``packet_features`` of captures by row."""
+    d = lambda c: F.col(c).cast("double")
+    r = lambda c: F.round(d(c), 4)
+    count = lambda kind: F.size(F.filter("__names", lambda x: x["kind"] == kind)).cast("double")
+    numbers = [d("packet_count"), d("ip_bytes"), d("ip_up"), d("ip_bytes") - d("ip_up"), nu.ratio(d("ip_up"), d("ip_bytes")), r("len_min"), r("len_max"), r("len_mean"), r("len_std"), r("gap_mean"), r("gap_std"), r("gap_max"), *map(count, KINDS[:3])]
+    text = F.array_join(F.transform("__names", lambda x: F.concat(x["kind"], F.lit(":"), x["value"])), " ")
+    return captures.withColumn("__names", F.concat(*map(_named, KINDS))).select("file", F.array(*numbers).alias("net_numeric"), text.alias("net_text"))
 
 
 def assemble(names: DataFrame, corpus: DataFrame, host: DataFrame, network: DataFrame) -> DataFrame:

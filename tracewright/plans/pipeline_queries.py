@@ -9,7 +9,7 @@ from tracewright.functions import net
 from tracewright.functions import numeric as nu
 from tracewright.functions import text as tx
 from tracewright.ml import encoder
-from tracewright.operators import cv, features, metrics, sessions, tokens, trajectory
+from tracewright.operators import cv, features, flow, metrics, sessions, tokens, trajectory
 from tracewright.operators.orphans import canonical_name
 from tracewright.plans import detect, pipeline_sql, reference_queries
 from tracewright.runtime import read_table, scratch
@@ -219,7 +219,7 @@ def packet_names(spark, d):
 
 
 def packet_features(spark, d):
-    f = detect.packet_features(packets.decoded(captures(spark, d)))
+    f = detect.capture_features(flow.file_captures(captures(spark, d)))
     picked = {"packet_count": 0, "total_bytes": 1, "up_bytes": 2, "down_bytes": 3, "pkt_len_min": 5, "pkt_len_max": 6, "dns_domain_count": 12, "sni_count": 13, "http_host_count": 14}
     return f.select("file", *[F.get("net_numeric", F.lit(i)).cast("bigint").alias(n) for n, i in picked.items()], "net_text")
 
