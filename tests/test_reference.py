@@ -221,6 +221,17 @@ def test_features_read_captures_once(spark, sf, tmp_path):
     assert numbers[14] == read + 1 and "host:in.example.com" in text and text.endswith("ip:93.184.216.34")
 
 
+def test_names_read_captures_once(spark, sf, tmp_path):
+    assert passes(pipeline_queries.packet_names(spark, sf)) == (1, 1)
+    asked = [(float(i), udp(HOME, (8, 8, 8, 8), 5000, 53, dns(n))) for i, n in enumerate(("Api.Example.com", "api.example.com", "no_domain", "-x.example.com"))]
+    (tmp_path / "a.pcap").write_bytes(pcap(FRAMES + asked))
+    (tmp_path / "b.pcap").write_bytes(pcap(FRAMES[6:]))
+    found = [(r["kind"], r["value"]) for r in detect.capture_names(flow.file_captures(packets.captures(spark, str(tmp_path)))).collect()]
+    names = [(r["kind"], r["value"]) for r in detect.packet_names(packets.packets(spark, str(tmp_path))).collect()]
+    want = ["dns:api.example.com", "host:web.example.co", "host:web.example.com", "ip:8.8.8.8", "ip:93.184.216.34", "sni:tls.example.org"]
+    assert sorted(map(":".join, found)) == sorted(map(":".join, names)) == want
+
+
 def test_net_functions(spark):
     for a, private in (((10, 1, 1, 1), True), ((172, 31, 0, 1), True), ((172, 32, 0, 1), False), ((192, 168, 9, 9), True), ((127, 0, 0, 1), True), ((8, 8, 8, 8), False), ((1, 2), False)):
         assert one(spark, bytearray(a), net.private_ipv4, "binary") is private

@@ -215,7 +215,7 @@ def packet_rows(spark, d):
 
 
 def packet_names(spark, d):
-    return detect.packet_names(packets.decoded(captures(spark, d)))
+    return detect.capture_names(flow.file_captures(captures(spark, d)))
 
 
 def packet_features(spark, d):
